@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, license_scan, quality
 
-QUERIES = {"op6_exact_dedup": exact_dedup.op6}
+QUERIES = {
+    "op6_exact_dedup": exact_dedup.op6,
+    "op7_quality_classifier": quality.op7,
+    "op9_license_scan": license_scan.op9,
+}
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
