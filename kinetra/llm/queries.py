@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, quality
+from . import decontaminate, exact_dedup, license_scan, quality
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6,
     "op7_quality_classifier": quality.op7,
+    "op8_decontamination": decontaminate.op8,
     "op9_license_scan": license_scan.op9,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}
