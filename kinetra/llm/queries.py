@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, quality
+from . import decontaminate, exact_dedup, license_scan, quality, secrets
 
 QUERIES = {
+    "op4_secret_scan": secrets.op4,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_quality_classifier": quality.op7,
     "op8_decontamination": decontaminate.op8,
