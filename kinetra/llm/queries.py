@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, quality, secrets
+from . import decontaminate, exact_dedup, license_scan, pii, quality, secrets
 
 QUERIES = {
     "op4_secret_scan": secrets.op4,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_quality_classifier": quality.op7,
     "op8_decontamination": decontaminate.op8,
     "op9_license_scan": license_scan.op9,
+    "op10_pii": pii.op10,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}
