@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, pii, quality, secrets
+from . import decontaminate, exact_dedup, license_scan, pii, quality, secrets, sharding
 
 QUERIES = {
     "op4_secret_scan": secrets.op4,
+    "op5_sharding": sharding.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_quality_classifier": quality.op7,
     "op8_decontamination": decontaminate.op8,
