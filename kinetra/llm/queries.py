@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, pii, quality, secrets, sharding
+from . import decontaminate, exact_dedup, html_extract, license_scan, pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1,
     "op4_secret_scan": secrets.op4,
     "op5_sharding": sharding.op5,
     "op6_exact_dedup": exact_dedup.op6,
