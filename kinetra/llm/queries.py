@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, pii, quality, secrets, sharding
+from . import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1,
+    "op3_minhash_near_dedup": near_dedup.op3,
     "op4_secret_scan": secrets.op4,
     "op5_sharding": sharding.op5,
     "op6_exact_dedup": exact_dedup.op6,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_license_scan": license_scan.op9,
     "op10_pii": pii.op10,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}
+ORACLES = {"op3_minhash_near_dedup": near_dedup.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}
