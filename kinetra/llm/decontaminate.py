@@ -58,37 +58,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
     # A mark at the end of each document carries its length through the same join; no word is empty.
     mark = docs.sparkSession.range(1).select(F.lit("").alias("word"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in prefixes.schema if f.name != "word"))
     keys = near(prefixes.unionByName(mark))
-    if small:
-        places = src.select("doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("q", "word")).join(keys, "word")
-        left, length, text = F.lit(0), F.size("w"), F.col("w")
-    else:  # what a candidate needs of its document travels with each word
-        left = F.greatest(F.col("q") - (width - 1), F.lit(0))
-        places = (
-            src.select("doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("q", "word"))
-            .select("doc_id", "q", "word", F.size("w").alias("size"), left.alias("left"), F.slice("w", left + 1, F.lit(2 * width - 1)).alias("c"))
-            .join(keys, "word")
-        )
-        left, length, text = F.col("left"), F.col("size"), F.col("c")
-    q, at, first, last, n = (F.col(c) for c in ("q", "at", "first", "last", "len"))
+    q, at, first, last, n, base = (F.col(c) for c in ("q", "at", "first", "last", "len", "base"))
+    words = src.select("doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("q", "word"))
+    left = F.greatest(q - (width - 1), F.lit(0))
+    context = [F.size("w").alias("size"), left.alias("left"), F.slice("w", left + 1, F.lit(2 * width - 1)).alias("c")]
     # Positional bounds: the starts whose windows lie within the document.
-    lo = F.greatest(first, at - q)
-    hi = F.least(last, length - n - q + at)
+    lo, hi = F.greatest(first, at - q), F.least(last, F.col("size") - n - q + at)
     marked = F.col("item_id").isNull()
 
-    def agrees(by: int) -> F.Column:
-        return F.try_element_at(text, F.greatest(q - left + 1 + by, F.lit(1)).cast("int")).eqNullSafe(F.try_element_at("around", F.greatest(at - F.col("base") + 1 + by, F.lit(1)).cast("int")))
-
-    # Every window has the place before its prefix word or the one after it: one of them must agree before windows are compared.
-    edge = (n == 1) | ((first < at) & agrees(-1)) | ((last == at) & agrees(1))
-    whole = F.filter(
-        F.sequence(lo, hi),
-        lambda s: F.slice(text, (q - at + s - left + 1).cast("int"), n) == F.slice("around", (s - F.col("base") + 1).cast("int"), n),
-    )
-    found = places.where(marked | ((lo <= hi) & edge)).select(
-        "doc_id", "item_id", F.when(marked, q).alias("n_words"), F.when(~marked, F.transform(whole, lambda s: (q - at + s).cast("int"))).alias("starts"), "len"
-    ).where("n_words IS NOT NULL OR size(starts) > 0")
-    # A row for each document and item, then for each document; a hot item is aggregated before the shuffle.
-    per = found.select("doc_id", "item_id", "n_words", F.when(F.col("item_id").isNotNull(), F.struct(F.array_min("starts").alias("a"), (F.array_max("starts") + F.col("len")).alias("b"))).alias("span"))
+    def fits(text: F.Column, at_left: F.Column, size: F.Column) -> F.Column:
+        """Every window has the place before its prefix word or the one after it: one of them must agree before windows are compared."""
+        def agrees(by: int) -> F.Column:
+            return F.try_element_at(text, F.greatest(q - at_left + 1 + by, F.lit(1)).cast("int")).eqNullSafe(F.try_element_at("around", F.greatest(at - base + 1 + by, F.lit(1)).cast("int")))
+
+        inside = F.greatest(first, at - q) <= F.least(last, size - n - q + at)
+        return marked | (inside & ((n == 1) | ((first < at) & agrees(-1)) | ((last == at) & agrees(1))))
+
+    if small:  # within one generated loop over a document's words: what leaves it is a candidate with the words around it
+        places = words.join(keys, "word").where(fits(F.col("w"), F.lit(0), F.size("w"))).select("doc_id", "q", *prefixes.drop("word").columns, *context)
+    else:  # the words around a place travel with it
+        places = words.select("doc_id", "q", "word", *context).join(keys, "word").where(fits(F.col("c"), F.col("left"), F.col("size"))).drop("word")
+    # A row for each window to compare; as a generator, not a lambda, it stays within the generated code.
+    tried = places.select("*", F.explode(F.when(marked, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))).alias("s"))
+    s = F.col("s")
+    same = F.slice("c", (q - at + s - F.col("left") + 1).cast("int"), n) == F.slice("around", (s - base + 1).cast("int"), n)
+    begin = (q - at + s).cast("int")
+    per = tried.where(marked | same).select("doc_id", "item_id", F.when(marked, q).alias("n_words"), F.when(~marked, F.struct(begin.alias("a"), (begin + n).alias("b"))).alias("span"))
+    # Aggregated before the shuffle; what is gathered for a document is bounded by its length and the items it holds.
     grouped = per.groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     # Spans in order of their starts: each adds what lies beyond those before it.
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("int").alias("to"))
