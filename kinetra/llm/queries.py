@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, sharding
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, sentence_pieces, sharding
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1,
+    "op2_sentence_pieces": sentence_pieces.op2,
     "op3_minhash_near_dedup": near_dedup.op3,
     "op4_secret_scan": secrets.op4,
     "op5_sharding": sharding.op5,
@@ -14,5 +17,6 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8,
     "op9_license_scan": license_scan.op9,
     "op10_pii": pii.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_minhash_near_dedup": near_dedup.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}
