@@ -26,15 +26,17 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, fan_in: int = 8):
         self.spark, self.fan_in, self.root, self.runs = spark, fan_in, scratch(spark, "digest-index"), []
+        self.written = 0
 
     def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.root}/{name}"
+        path = f"{self.root}/{name}-{self.written}"
+        self.written += 1
         df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path)
         return path
 
     def flush(self, rows: DataFrame) -> DataFrame:
         """rows: digest, id. Each task's memtable becomes one sorted run; returns the run, a row for each input row."""
-        path = self._write(rows.select("digest", "id").sortWithinPartitions("digest", "id"), f"run-{len(self.runs)}")
+        path = self._write(rows.select("digest", "id").sortWithinPartitions("digest", "id"), "run")
         self.runs.append((path, False))
         if len(self.runs) > self.fan_in:
             self.compact()
@@ -50,7 +52,7 @@ class DigestIndex:
                 part = self.spark.read.schema("digest string, id long").parquet(path).groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
             merged = part if merged is None else merged.unionByName(part)
         out = merged.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")) if len(self.runs) > 1 else merged
-        path = self._write(out, f"level-{len(self.runs)}")
+        path = self._write(out, "level")
         self.runs = [(path, True)]
         return self.spark.read.schema("digest string, lo long, hi long, n long").parquet(path)
 
