@@ -121,10 +121,10 @@ def a12(spark, d):
 
 
 @query("b1_windows", "WITH " + T.EVENT_FRAMES_SQL + """, n AS (SELECT idx, frame, x, y, z, lead(x) OVER w - x AS nx, lead(y) OVER w - y AS ny, lead(z) OVER w - z AS nz, first_value(x) OVER v - x AS fx, frame - 15 AS "at" FROM frames WINDOW w AS (PARTITION BY idx ORDER BY frame), v AS (PARTITION BY idx ORDER BY frame ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
-SELECT idx, "at", round(fx, 6) AS first_x, round(nx, 6) AS next_x, round(ny, 6) AS next_y, round(nz, 6) AS next_z FROM n WHERE "at" >= 0 AND nx IS NOT NULL""")
+SELECT idx, "at", round(fx, 9) AS first_x, round(nx, 9) AS next_x, round(ny, 9) AS next_y, round(nz, 9) AS next_z FROM n WHERE "at" >= 0 AND nx IS NOT NULL""")
 def b1(spark, d):
     w = training.windows(dtw.episodes(T.event_frames(spark, d)))
-    return rounded(w.select("idx", "at", F.col("x")[0].alias("first_x"), F.col("y")[0].alias("next_x"), F.col("y")[1].alias("next_y"), F.col("y")[2].alias("next_z")))
+    return rounded(w.select("idx", "at", F.col("x")[0].alias("first_x"), F.col("y")[0].alias("next_x"), F.col("y")[1].alias("next_y"), F.col("y")[2].alias("next_z")), 9)
 
 
 # ---- dynamic time warping ---------------------------------------------------------------------------------------------
