@@ -23,6 +23,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/kinetra/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hold Arrow batches of texts to so many rows (Spark's own default is 10,000): a batch is held by the executor and by its Python worker, and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
@@ -40,29 +45,35 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), SEPARATORS), "")
 
 
-FILTER_BITS = 1 << 26  # 8 MB when all are set, however many keys went in
+FILTER_BITS = 1 << 26  # the most: 8 MB when all are set, however many keys went in
 _PER_ROW = 32768  # what bitmap_construct_agg packs into a row
 
 
-def bit_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A one-hash Bloom filter of keys: at most FILTER_BITS / 8 bytes in at most 2,048 rows, so that it can be broadcast at any size of keys. It lets some others through, never drops a key."""
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    return (
+def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A one-hash Bloom filter of keys, and its number of bits: about 32 a key, FILTER_BITS at most (8 MB in 2,048 rows), so that it can be broadcast at any number of keys. It lets some others through, never drops a key."""
+    bits = _PER_ROW
+    n = keys.count()
+    while bits < min(32 * n, FILTER_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    table = (
         keys.where(F.col(key).isNotNull())
         .select(slot.alias("_slot"))
         .groupBy(F.floor(F.col("_slot") / _PER_ROW).alias("_bucket"))
         .agg(F.expr(f"bitmap_construct_agg(_slot % {_PER_ROW})").alias("_bits"))
     )
+    return table, bits
 
 
-def may_be_in(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+def may_be_in(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose key may be among those of bit_filter()."""
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    table, bits = filter_
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
     at = F.col("_s") % _PER_ROW
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return (
         df.withColumn("_s", slot)
-        .join(F.broadcast(bits), F.floor(F.col("_s") / _PER_ROW) == F.col("_bucket"))
+        .join(F.broadcast(table), F.floor(F.col("_s") / _PER_ROW) == F.col("_bucket"))
         .where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
         .drop("_s", "_bucket", "_bits")
     )

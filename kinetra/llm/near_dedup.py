@@ -14,15 +14,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, may_be_in
+from .common import bit_filter, materialize, may_be_in, small_batches
 
 COORDINATES = 64
 TREES = 12
 SMALL = 24  # classes of a node that is compared exhaustively
-DEPTH = 8  # levels of branching; what is left then is compared across components
+DEPTH = 5  # levels of branching; what is left then is compared across components
 #: Of 64 coordinates two sets at the threshold share 51 in expectation, and fewer than this with probability 1e-6.
 AGREE = 35
 
@@ -42,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as sorted 64-bit hashes. Hashes of words are kept between texts, up to a bound."""
 
-    def __init__(self, width: int = 4, kept: int = 400_000):
+    def __init__(self, width: int = 4, kept: int = 200_000):
         self.width, self.kept, self.cache = width, kept, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -156,19 +156,24 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large and small stars: every step joins each node's neighbours to its least neighbour, so that paths shrink
     by a factor. A step is one written table; nothing but its size and checksum comes to the driver.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        state = tuple(edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            return edges.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
-        seen = state
+    def written(df: DataFrame, files: int | None) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        df = df.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"))
+        out = materialize(df.coalesce(files) if files else df, "edges")
+        return out, (seen.get["n"], seen.get["x"])
+
+    edges, state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None)
+    while state[0]:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "edges")
+        edges, now = written(small, 8 + state[0] // 500_000)  # in proportion to the links
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
 
 
 def _sizes_fit(percent: int, x: str, y: str) -> F.Column:
@@ -180,37 +185,37 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent = width, percent
+        small_batches(docs.sparkSession)
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         self.texts = src.select("doc_id", F.md5(F.col("text").cast("binary")).alias("tk"), "text")
         sketched = self.texts.mapInArrow(_sketch(width), "doc_id long, tk string, n long, mark binary, sig binary")
         self.rows = materialize(sketched, "sketches")
         classes = self.rows.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.min(F.struct("tk", "n", "sig")).alias("x"))
         self.classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "mark", "doc", "x.tk", "x.n", "x.sig"), "classes")
-        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
         self.comp: DataFrame | None = None
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose signatures agree enough, with the number of coordinates that do."""
         sig = self.classes.select("cid", "sig")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(sig.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, same int"), "alike")
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Confirm pairs (a, b) on their full sets and merge the links. Whether there were pairs."""
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return False
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "tk"), "cid")
-        wanted = materialize(wanted, "wanted")
+    def confirm(self, pairs: DataFrame) -> None:
+        """Confirm pairs (a, b) of a written table on their full sets and merge the components that links join."""
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "tk"), "cid"), "wanted")
+        if wanted.isEmpty():
+            return
         near = may_be_in(self.texts, F.col("tk"), bit_filter(wanted, "tk")).select("tk", "text")
         texts = materialize(near.groupBy("tk").agg(F.min("text").alias("text")).join(wanted, "tk").select("cid", "text"), "texts")
         both = pairs.join(texts.withColumnsRenamed({"cid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"cid": "a", "text": "ta"}), "a")
-        found = both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.percent), "a long, b long")
-        links = found if self.links is None else self.links.unionByName(found)
-        self.links = materialize(links, "links")
-        self.comp = materialize(components(self.links), "components")
-        return True
+        links = both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.percent), "a long, b long")
+        merged = components(self.labelled(links, "a", "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        if self.comp is not None:
+            # Known members follow their component's head; heads and classes without links are in `merged` themselves.
+            to = merged.select(F.col("cid").alias("comp"), F.col("comp").alias("_to"))
+            merged = materialize(self.comp.join(to, "comp", "left").select("cid", F.coalesce("_to", "comp").alias("comp")).unionByName(merged), "components")
+        self.comp = merged
 
     def labelled(self, df: DataFrame, *names: str) -> DataFrame:
         """df with a column <name>_comp for each column of cids."""
@@ -221,37 +226,57 @@ class _Join:
                 df = df.join(self.comp.select(F.col("cid").alias(x), "comp"), x, "left").withColumn(f"{x}_comp", F.coalesce("comp", x)).drop("comp")
         return df
 
-    def try_pairs(self, pairs: DataFrame) -> None:
-        """All links among candidate pairs, in two rounds: the best partner of each class first; then only pairs that still join two components."""
+    def try_pairs(self, pairs: DataFrame, best_first: bool = False) -> None:
+        """All links among candidate pairs; a pair is tried once. best_first: in two rounds, the best partner of each class, then only pairs that still join two components."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         good = self.alike(pairs)
+        self.tried = good.select("a", "b") if self.tried is None else self.tried.unionByName(good.select("a", "b"))
+        if not best_first:
+            self.confirm(good)
+            return
         best = good.groupBy("b").agg(F.max(F.struct("same", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-        if self.confirm(best):
-            rest = self.labelled(good, "a", "b").where("a_comp <> b_comp")
-            self.confirm(rest.join(best, ["a", "b"], "left_anti"))
+        best = materialize(best, "best")
+        self.confirm(best)
+        rest = self.labelled(good, "a", "b").where("a_comp <> b_comp").select("a", "b")
+        self.confirm(materialize(rest.join(best, ["a", "b"], "left_anti"), "rest"))
+
+    def candidates(self, members: DataFrame) -> DataFrame:
+        """Pairs of members (key, cid, n, cid_comp, m) of different components: all in small nodes, each with the centre of its size in large ones."""
+        small = members.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "cid_comp"))).alias("x"))
+        each = small.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
+        pairs = each.where(_sizes_fit(self.percent, "a.n", "b.n") & (F.col("a.cid_comp") != F.col("b.cid_comp"))).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+        large = members.where(F.col("m") > SMALL).withColumn("size", F.floor(F.ln("n") / F.lit(float(np.log(100 / self.percent)))))
+        centres = large.groupBy("key", "size").agg(F.min(F.struct("cid", "cid_comp")).alias("c"))
+        stars = large.join(centres, ["key", "size"]).where("cid_comp <> c.cid_comp").select(F.col("c.cid").alias("a"), F.col("cid").alias("b"))
+        return pairs.unionByName(stars)
+
+    def members(self, level: DataFrame) -> DataFrame:
+        """Of a level (key, cid, n), the nodes that hold more than one component."""
+        known = self.labelled(level, "cid")
+        nodes = known.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cid_comp").alias("lo"), F.max("cid_comp").alias("hi")).where("lo < hi").select("key", "m")
+        return materialize(known.join(nodes, "key"), "members")
 
     def run(self) -> None:
-        level = self.classes.select("cid", "n", "sig").mapInArrow(_roots, NODE)
-        for depth in range(DEPTH + 1):
-            level = materialize(level, "level")
-            nodes = level.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-            members = materialize(level.join(nodes, "key"), "members")
-            small = members.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cid", "n"))).alias("x"))
-            each = small.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
-            pairs = each.where(_sizes_fit(self.percent, "a.n", "b.n")).select("a.cid", F.col("b.cid").alias("other")).toDF("a", "b")
-            large = members.where(F.col("m") > SMALL).withColumn("size", F.floor(F.ln("n") / F.lit(np.log(100 / self.percent))))
-            centres = large.groupBy("key", "size").agg(F.min("cid").alias("centre"))
-            stars = large.join(centres, ["key", "size"]).where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
-            candidates = pairs.unionByName(stars)
-            self.try_pairs(self.labelled(candidates, "a", "b").where("a_comp <> b_comp") if self.comp is not None else candidates)
-            # Large nodes that hold more than one component go on.
-            open_ = self.labelled(large.select("key", "cid", "n"), "cid")
-            mixed = open_.groupBy("key").agg(F.min("cid_comp").alias("lo"), F.max("cid_comp").alias("hi")).where("lo < hi").select("key")
-            left = materialize(open_.join(mixed, "key"), "open")
+        # The first level's links show which nodes are one component already.
+        level = materialize(self.classes.select("cid", "n", "sig").mapInArrow(_roots, NODE), "level")
+        members = self.members(level)
+        self.try_pairs(self.candidates(members), best_first=True)
+        left, found = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n")), None
+        for _ in range(DEPTH):
             if left.isEmpty():
-                return
-            if depth < DEPTH:
-                level = left.select("key", "cid", "n").join(self.classes.select("cid", "sig"), "cid").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE)
+                break
+            level = materialize(left.select("key", "cid", "n").join(self.classes.select("cid", "sig"), "cid").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
+            members = self.members(level)
+            more = self.candidates(members)
+            found = more if found is None else found.unionByName(more)
+            left = members.where(F.col("m") > SMALL)
+        if found is None:
+            return
+        self.try_pairs(found)
         # Nodes that are still large and mixed: what is outside a node's main component is compared with all of the node.
+        left = self.members(left.select("key", "cid", "n"))
         counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"))
         main = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp")).alias("x")).select("key", F.col("x.cid_comp").alias("main"))
         outside = left.join(main, "key").where("cid_comp <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("cid_comp").alias("ac"))
