@@ -22,7 +22,7 @@ from .common import bit_filter, materialize, may_be_in, small_batches
 COORDINATES = 64
 TREES = 12
 SMALL = 24  # classes of a node that is compared exhaustively
-DEPTH = 5  # levels of branching; what is left then is compared across components
+DEPTH = 5  # rounds of branching, of two levels each; what is left then is compared across components
 #: Of 64 coordinates two sets at the threshold share 51 in expectation, and fewer than this with probability 1e-6.
 AGREE = 35
 
@@ -113,17 +113,20 @@ def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _emit(parts)
 
 
+def _step(key: np.ndarray, cid: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, ...]:
+    one = (_mix(key ^ _C[10]) % _U(COORDINATES)).astype(np.int64)
+    two = (_mix(key ^ _C[11]) % _U(COORDINATES)).astype(np.int64)
+    also = (_mix(key ^ _C[12]) & _U(3) == 0) & (one != two)
+    both = lambda x: np.concatenate([x, x[also]])
+    return np.concatenate([_child(key, one, sig), _child(key[also], two[also], sig[also])]), both(cid), both(n), both(sig)
+
+
 def _branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From key, cid, n, sig: the children that each class goes on to. The key alone picks the coordinates: one, and in a quarter of nodes a second."""
+    """From key, cid, n, sig: the grandchildren that each class goes on to. A key alone picks its coordinates: one, and in a quarter of nodes a second."""
     for batch in batches:
-        key, cid, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        if not len(key):
-            continue
-        sig = _matrix(batch.column(3))
-        one = (_mix(key ^ _C[10]) % _U(COORDINATES)).astype(np.int64)
-        two = (_mix(key ^ _C[11]) % _U(COORDINATES)).astype(np.int64)
-        also = (_mix(key ^ _C[12]) & _U(3) == 0) & (one != two)
-        yield _emit([(_child(key, one, sig), cid, n), (_child(key[also], two[also], sig[also]), cid[also], n[also])])
+        if batch.num_rows:
+            at = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+            yield _emit([_step(*_step(*at))[:3]])
 
 
 def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
