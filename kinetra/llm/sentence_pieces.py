@@ -14,18 +14,19 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 16 << 20  # of input a chunk, at most one split's
-LONG = 64  # characters of a word beyond which the merge rule runs on a heap instead of in the aggregate
+CHUNK_BYTES = 16 << 20  # of input a chunk
+LONG = 60  # characters of a word beyond which the rule runs outside the aggregate, whose state is a number of 64 bits
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,15 @@ class Pieces:
         return max((len(self.pieces[i]) for i in self.plain), default=1)
 
     @property
-    def alone(self) -> str:
-        """White space that is in no longer piece: words end before and after it."""
-        inner = {c for i in self.plain if len(self.pieces[i]) > 1 for c in self.pieces[i]}
-        return "".join(c for c in "\n\r\t" if c not in inner)
+    def pattern(self) -> str:
+        """What a word is. Words end where no piece can reach across: before a space mark, around white space that is in no
+        longer piece, and after letters or digits before a character that no piece has behind them."""
+        inner = {p[k : k + 2] for p in (self.pieces[i] for i in self.plain) for k in range(len(p) - 1)}
+        alone = "".join(c for c in "\n\r\t" if not any(c in x for x in inner))
+        held = {x[1] for x in inner if re.match(r"\w", x[0])}
+        after = "".join(re.escape(c) for c in sorted({c for i in self.plain for c in self.pieces[i]} - held) if not re.match(rf"[\w{MARK}]", c))
+        stop = f"[^{MARK}{alone}]"
+        return rf"{MARK}*\w+(?=[{MARK}{alone}{after}]|\Z)|{MARK}*{stop}+|{MARK}+" + (f"|[{alone}]" if alone else "")
 
 
 def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
@@ -63,10 +69,6 @@ def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
     return Pieces(tuple(p.id_to_piece(i) for i in ids), tuple(float(p.get_score(i)) for i in ids), plain, bytes_, p.unk_id(), kind)
 
 
-def word_pattern(alone: str) -> re.Pattern:
-    return re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
 def words_of(text: str, pattern: re.Pattern) -> list[str]:
     """The words of a text with its spaces as marks and one mark before it; none for an empty text."""
     return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -76,40 +78,56 @@ def words_of(text: str, pattern: re.Pattern) -> list[str]:
 
 
 def lattice(words: DataFrame, table: Pieces) -> DataFrame:
-    """From distinct words (word): word and its edges (start, stop, id, score), in characters from 0, stop exclusive."""
-    spark, longest = words.sparkSession, table.longest
-    rows = [("", -1, 0.0), *((table.pieces[i], i, table.scores[i]) for i in sorted(table.plain))]
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double").coalesce(1)  # as large as the model, whatever the corpus
+    """From distinct words (word): word and its edges, the substrings of two characters or more that are pieces.
+
+    An edge has a key, rank * 256 + start, where better scores have lower ranks (the least key is the best edge, the leftmost
+    of equals), and two sets of places as bits: its ends, and what lies between them.
+    """
+    longest = table.longest
+    order = {s: r for r, s in enumerate(sorted({table.scores[i] for i in table.plain}, reverse=True))}
+    rows = [("", -1), *((table.pieces[i], order[table.scores[i]]) for i in sorted(table.plain) if len(table.pieces[i]) > 1)]
+    pieces = words.sparkSession.createDataFrame(rows, "piece string, rank long").coalesce(1)  # as large as the model, whatever the corpus
     n = F.char_length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = words.select("word", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
     # Each word has the empty substring once, which meets the empty piece, so that words without edges stay.
-    spans = spans.select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), n - F.col("start")))).alias("length"))
-    cut = spans.select("word", "start", (F.col("start") + F.col("length")).alias("stop"), F.expr("substring(word, start + 1, length)").alias("piece"))
-    edge = F.when(F.col("id") >= 0, F.struct("start", "stop", "id", "score"))
-    return cut.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(edge).alias("edges"))
-
-
-def _merged(edges: Column, n: Column) -> Column:
-    """The cuts 0..n that the merge rule leaves. Each step takes the best edge that covers exactly two symbols."""
-    wide = F.filter(edges, lambda e: e["stop"] - e["start"] > 1)
-    begin = F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.lit(False).alias("done"))
-
-    def step(acc: Column, _: Column) -> Column:
-        cuts = acc["cuts"]
-        open_ = F.filter(wide, lambda e: (F.array_position(cuts, e["start"]) > 0) & (F.try_element_at(cuts, (F.array_position(cuts, e["start"]) + 2).cast("int")).eqNullSafe(e["stop"])))
-        best = F.array_min(F.transform(open_, lambda e: F.struct((-e["score"]).alias("s"), e["start"].alias("start"), e["stop"].alias("stop"))))
-        return F.when(acc["done"], acc).otherwise(_take(cuts, best))
-
-    def _take(cuts: Column, best: Column) -> Column:
-        # best is an array of one for reuse inside a lambda
-        taken = F.transform(F.array(best), lambda b: F.when(b.isNull(), F.struct(cuts.alias("cuts"), F.lit(True).alias("done"))).otherwise(F.struct(F.filter(cuts, lambda c: ~((c > b["start"]) & (c < b["stop"]))).alias("cuts"), F.lit(False).alias("done"))))
-        return F.element_at(taken, 1)
-
-    return F.aggregate(F.slice(F.sequence(F.lit(0), n), 1, n), begin, step, lambda acc: acc["cuts"])
-
-
-def _best_path(edges: Column, n: Column, penalty: float) -> Column:
-    """The cuts 0..n of the path with the greatest sum of scores. A character without an edge costs penalty; of equal paths the one with the longer last piece stays."""
+    lengths = F.concat(F.when(F.col("start") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(n - F.col("start") >= 2, F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start")))).otherwise(F.array().cast("array<int>")))
+    spans = spans.select("word", "start", F.explode(lengths).alias("length"))
+    cut = spans.select("word", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
+    bit = lambda at: F.expr(f"shiftleft(1L, {at})")
+    inside = F.expr("shiftleft(shiftleft(1L, length - 1) - 1L, start + 1)")
+    edge = F.struct((F.col("rank") * 256 + F.col("start")).alias("key"), bit("start").bitwiseOR(bit("start + length")).alias("ends"), inside.alias("inside"))
+    return cut.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.when(F.col("rank") >= 0, edge)).alias("edges"))
+
+
+#: The fold over a word's edges. Its state is one number, a bit for each cut between symbols (0 and the end included). A step
+#: takes the best edge that runs from cut to cut over exactly one other cut, and clears that cut; the sign tells that none is left.
+MERGE = """aggregate(sequence(1, least(size(edges), char_length(word))), shiftleft(2L, char_length(word)) - 1L,
+  (cuts, k) -> IF(cuts < 0, cuts, transform(
+    array(array_min(filter(edges, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inside) = 1))),
+    b -> IF(b IS NULL, cuts | shiftleft(1L, 63), cuts & ~b.inside))[0]),
+  cuts -> cuts & ~shiftleft(1L, 63))"""
+
+
+def best_path(edges: list[tuple[int, int, float]], n: int, penalty: float) -> list[int]:
+    """Brute Viterbi on one word, for words too long for the fold: cuts of the path with the greatest sum of scores."""
+    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("-inf"), -1)] * n
+    into: dict[int, list[tuple[int, float]]] = {}
+    for a, b, s in edges:
+        into.setdefault(b, []).append((a, s))
+    for stop in range(1, n + 1):
+        ways = into.get(stop, [])
+        if not any(a == stop - 1 for a, _ in ways):
+            ways = [*ways, (stop - 1, penalty)]
+        best[stop] = max((best[a][0] + s, -a) for a, s in ways)
+        best[stop] = (best[stop][0], -best[stop][1])
+    out = [n]
+    while out[-1]:
+        out.append(best[out[-1]][1])
+    return out[::-1]
+
+
+def _viterbi(edges: Column, n: Column, penalty: float) -> Column:
+    """The same as a fold: the state has the best score and cuts of each prefix; edges are (start, stop, score)."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("cuts")))
 
     def step(acc: Column, stop: Column) -> Column:
@@ -142,44 +160,69 @@ def merge_long(n: int, edges: list[tuple[int, int, float]]) -> list[int]:
     return [i for i in range(n + 1) if alive[i]]
 
 
-def _fold_long(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cuts = [merge_long(len(w), [(e["start"], e["stop"], e["score"]) for e in edges if e["stop"] - e["start"] > 1]) for w, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts, pa.list_(pa.int32()))], ["word", "edges", "cuts"])
+def _cuts_of(word: str, table: Pieces, score: dict[str, float]) -> list[int]:
+    """The fold's rule in Python, for words beyond LONG characters."""
+    n, longest = len(word), table.longest
+    low = 1 if table.kind == "unigram" else 2
+    edges = [(a, b, score[word[a:b]]) for a in range(n) for b in range(a + low, min(n, a + longest) + 1) if word[a:b] in score]
+    return merge_long(n, edges) if table.kind == "bpe" else best_path(edges, n, min(table.scores) - 10)
+
+
+def _packing(table: Pieces) -> type:
+    """How an id is packed where words and their ids travel: two bytes, or four for large tables."""
+    return np.uint16 if len(table.pieces) < 1 << 16 else np.int32
+
+
+def _resolve(table: Pieces):
+    """From word and cuts (bits or a list; null: a long word) to word and packed ids: each symbol's piece, else its bytes, else unknown."""
+    kind = _packing(table)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {table.pieces[i]: [i] for i in table.plain}
+        score = {table.pieces[i]: table.scores[i] for i in table.plain}
+
+        def ids(symbol: str) -> list[int]:
+            if symbol not in known:
+                known[symbol] = [table.byte_ids[x] for x in symbol.encode("utf-8", "surrogatepass")] if table.byte_ids else [table.unknown]
+            return known[symbol]
+
+        for batch in batches:
+            out = []
+            for word, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if cuts is None:
+                    cuts = _cuts_of(word, table, score)
+                elif isinstance(cuts, int):
+                    cuts = [i for i in range(len(word) + 1) if cuts >> i & 1]
+                out.append(np.array([x for a, b in zip(cuts, cuts[1:]) for x in ids(word[a:b])], kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["word", "packed"])
+
+    return run
 
 
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
-    """From distinct words (word): word and its ids."""
-    edges = lattice(words, table)
+    """From distinct words (word): word and its ids, packed."""
     n = F.char_length("word")
+    short, long_ = words.where(n <= LONG), words.where(n > LONG)
     if table.kind == "bpe":
-        schema = "word string, edges array<struct<start:int,stop:int,id:int,score:double>>, cuts array<int>"
-        edges = materialize(edges, "lattice")
-        short = edges.where(n <= LONG).select("word", "edges", _merged(F.col("edges"), n).alias("cuts"))
-        cut = short.unionByName(edges.where(n > LONG).mapInArrow(_fold_long, schema))
-    else:
-        cut = edges.select("word", "edges", _best_path(F.col("edges"), n, min(table.scores) - 10).alias("cuts"))
-    if table.byte_ids:
-        ids_of = F.split(F.lit(",".join(map(str, table.byte_ids))), ",").cast("array<int>")
-        rest = lambda a, b: F.transform(F.split(F.regexp_replace(F.hex(F.encode(F.expr("word").substr(a + 1, b - a), "UTF-8")), "(..)(?!$)", "$1 "), " "), lambda x: F.element_at(ids_of, F.conv(x, 16, 10).cast("int") + 1))
+        cut = lattice(short, table).select("word", F.when(F.size("edges") > 0, F.expr(MERGE)).otherwise(F.expr("shiftleft(2L, char_length(word)) - 1L")).alias("cuts"))
+        kind = "long"
     else:
-        rest = lambda a, b: F.array(F.lit(table.unknown))
-    parts = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def ids(p: Column) -> Column:
-        known = F.transform(F.filter("edges", lambda e: (e["start"] == p["a"]) & (e["stop"] == p["b"])), lambda e: e["id"])
-        return F.when(F.exists("edges", lambda e: (e["start"] == p["a"]) & (e["stop"] == p["b"])), known).otherwise(rest(p["a"], p["b"]))
-
-    return cut.select("word", F.flatten(F.transform(parts, ids)).alias("ids"))
+        rows = [("", None), *((table.pieces[i], table.scores[i]) for i in sorted(table.plain))]
+        pieces = words.sparkSession.createDataFrame(rows, "piece string, score double").coalesce(1)
+        spans = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(table.longest), n - F.col("start")))).alias("length"))
+        edges = spans.withColumn("piece", F.expr("substring(word, start + 1, length)")).join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("stop"), "score"))).alias("edges"))
+        cut = edges.select("word", _viterbi(F.col("edges"), n, min(table.scores) - 10).alias("cuts"))
+        kind = "array<int>"
+    return cut.unionByName(long_.select("word", F.lit(None).cast(kind).alias("cuts"))).mapInArrow(_resolve(table), "word string, packed binary")
 
 
 # ---- documents -------------------------------------------------------------------------------------------------------
 
 
-def _chunk_words(alone: str):
+def _chunk_words(rule: str):
     """Distinct words of each chunk that a task meets: held until its end, at most the words of a split."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, seen = word_pattern(alone), {}
+        pattern, seen = re.compile(rule), {}
         for batch in batches:
             for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 seen.setdefault(chunk, set()).update(words_of(text.as_py(), pattern))
@@ -192,53 +235,72 @@ def _chunk_words(alone: str):
     return run
 
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch, by chunk, as one compressed blob with their rows and lengths in bytes."""
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        z = [pack.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["chunk", "row", "z"])
+        by: dict[int, list[int]] = {}
+        for i, chunk in enumerate(batch.column(0).to_pylist()):
+            by.setdefault(chunk, []).append(i)
+        for chunk, places in by.items():
+            texts = [batch.column(2)[i].as_py().encode("utf-8", "surrogatepass") for i in places]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([[batch.column(1)[i].as_py() for i in places]], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())],
+                ["chunk", "rows", "sizes", "z"],
+            )
 
 
-def _assemble(alone: str, keep: bool):
+def _assemble(table: Pieces, check: bool):
+    """Encodes a chunk's documents from its words' ids; with check also tells whether each decodes to its text."""
+    rule, raw, kind = table.pattern, raw_pieces(table) if check else [], _packing(table)
+
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        pattern, unpack = word_pattern(alone), zstandard.ZstdDecompressor()
-        ids = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
-        rows, out, texts = docs.column("row").to_pylist(), [], []
-        for z in docs.column("z"):
-            text = unpack.decompress(z.as_py()).decode("utf-8", "surrogatepass")
-            row: list[int] = []
-            for w in words_of(text, pattern):
-                row += ids[w]
-            out.append(pa.array(row, pa.int32()))
-            texts.append(text if keep else None)
-        offsets = [0]
-        for x in out:
-            offsets.append(offsets[-1] + len(x))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
-        return pa.table({"doc_id": pa.array(rows, pa.int64()), "ids": lists, "text": pa.array(texts, pa.string())})
+        pattern, unpack = re.compile(rule), zstandard.ZstdDecompressor()
+        packed = words.column("packed").to_pylist()
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int64) // np.dtype(kind).itemsize
+        flat = np.frombuffer(b"".join(packed), kind)
+        at = dict(zip(words.column("word").to_pylist(), range(len(packed))))
+        rows, out, exact = [], [], []
+        for r, sizes, z in zip(docs.column("rows"), docs.column("sizes"), docs.column("z")):
+            rows += r.as_py()
+            whole, begin = unpack.decompress(z.as_py()), 0
+            for size in sizes.as_py():
+                text = whole[begin : begin + size].decode("utf-8", "surrogatepass")
+                begin += size
+                which = np.fromiter(map(at.__getitem__, words_of(text, pattern)), np.int64)
+                length = ends[which + 1] - ends[which]
+                to = np.cumsum(length)
+                # each word's run of ids: places within the flat array, word by word
+                ids = flat[np.arange(to[-1] if len(to) else 0) + np.repeat(ends[which] - (to - length), length)]
+                out.append(ids.astype(np.int32))
+                exact.append(decode_ids(ids.tolist(), raw) == text if check else None)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
+        return pa.table({"doc_id": pa.array(rows, pa.int64()), "ids": lists, "exact": pa.array(exact, pa.bool_())})
 
     return run
 
 
-def encode(docs: DataFrame, table: Pieces, keep_text: bool = False) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, ids (and text, if kept).
+def encode(docs: DataFrame, table: Pieces, check: bool = False) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, ids (and exact, with check: whether decoding gives the text back).
 
     The ids are those of the model's own rules: for a BPE model the same as its library's. Null and empty texts have no ids.
     Repeated rows repeat theirs; a null doc_id stays null; other columns are ignored. The words of a chunk (at most a split
     of the input) and its texts are what a task holds.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     if not docs.inputFiles():
         docs = materialize(docs.select("doc_id", "text"), "documents")
-    spark = docs.sparkSession
     parts = -(-int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) // CHUNK_BYTES)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(text), F.lit(parts))).alias("chunk"), F.col("doc_id").cast("long").alias("row"), text.alias("text"))
-    pairs = materialize(src.select("chunk", "text").mapInArrow(_chunk_words(table.alone), "chunk long, word string"), "words")
+    pairs = materialize(src.select("chunk", "text").mapInArrow(_chunk_words(table.pattern), "chunk long, word string"), "words")
     encoded = materialize(encode_words(pairs.select("word").distinct(), table), "encoded")
-    known = pairs.join(encoded, "word").select("chunk", "word", "ids")
-    packed = src.mapInArrow(_packed, "chunk long, row long, z binary")
-    out = known.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(_assemble(table.alone, keep_text), "doc_id long, ids array<int>, text string")
-    return out if keep_text else out.drop("text")
+    known = pairs.join(encoded, "word").select("chunk", "word", "packed")
+    blobs = src.mapInArrow(_blobs, "chunk long, rows array<long>, sizes array<long>, z binary")
+    out = known.groupBy("chunk").cogroup(blobs.groupBy("chunk")).applyInArrow(_assemble(table, check), "doc_id long, ids array<int>, exact boolean")
+    return out if check else out.drop("exact")
 
 
 def decode_ids(ids: Iterable[int], raw: list[bytes]) -> str:
@@ -270,9 +332,7 @@ def decode(encoded: DataFrame, table: Pieces) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, and whether decoding the ids gives the text back."""
-    table = load()
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), table, keep_text=True), table)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("exact"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), load(), check=True).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "exact")
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_unigram_fold_is_viterbi(spark):
     scores = [rng.uniform(-5, -1) for _ in pieces]
     table = sentence_pieces.Pieces(("<unk>", *pieces), (0.0, *scores), frozenset(range(1, len(pieces) + 1)), (), 0, "unigram")
     words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 5, 8, 8, 8)] + ["▁abca", "▁d"]
-    got = {r.word: r.ids for r in sentence_pieces.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), table).collect()}
+    got = {r.word: np.frombuffer(r.packed, np.uint16).tolist() for r in sentence_pieces.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), table).collect()}
 
     def best(w):
         def ways(at):
