@@ -3,13 +3,15 @@
 Texts with equal shingle sets form a class; classes are what is compared. Each of several independent trees sends a class
 down from its root: a node's key picks some of the MinHash coordinates (1 / threshold of them in expectation), and the
 class branches to the children named by its minwise tokens there, so that classes that are alike keep meeting. Small nodes
-are compared exhaustively. In large nodes each class is first compared with the node's centre, links are merged, and the
-node goes on branching only where it still holds several components. Every link is confirmed on the full shingle sets.
+are compared exhaustively, at every level. In large nodes each class is first compared with the node's centre, links are
+merged, and the node goes on branching only where it still holds several components; it stops while few pairs are lost, and
+the rest is compared exhaustively in blocks. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ from .common import bit_filter, materialize, may_be_in, small_batches
 COORDINATES = 64
 TREES = 12
 SMALL = 24  # classes of a node that is compared exhaustively
-DEPTH = 5  # rounds of branching, of two levels each; what is left then is compared across components
+#: Levels of branching below the roots' children; what is left then is compared across components. A pair at the threshold
+#: that stays in crowded nodes down to the last level is apart in all trees with probability 7e-7 (miss()).
+DEPTH = 3
+BLOCK = 2048  # classes of a block of a node that is compared at the last level
 #: Of 64 coordinates two sets at the threshold share 51 in expectation, and fewer than this with probability 1e-6.
 AGREE = 35
 
@@ -102,31 +107,69 @@ NODE = "key long, cid long, n long"
 
 
 def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cid, n, sig: the children of each tree's root. Roots use coordinates of their own, so that trees are independent; every fourth has a second one."""
+    """From cid, n, sig: the children of each tree's root. A root uses two coordinates of its own."""
     for batch in batches:
         sig, cid, n = _matrix(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
         parts = []
         for t in range(TREES):
-            for c in (t, COORDINATES - 1 - t)[: 1 + (t % 4 == 0)]:
+            for c in (t, COORDINATES - 1 - t):
                 parts.append((_child(np.full(len(cid), _mix(np.array([t], np.uint64))[0]), np.full(len(cid), c), sig), cid, n))
         if len(cid):
             yield _emit(parts)
 
 
-def _step(key: np.ndarray, cid: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, ...]:
-    one = (_mix(key ^ _C[10]) % _U(COORDINATES)).astype(np.int64)
-    two = (_mix(key ^ _C[11]) % _U(COORDINATES)).astype(np.int64)
-    also = (_mix(key ^ _C[12]) & _U(3) == 0) & (one != two)
-    both = lambda x: np.concatenate([x, x[also]])
-    return np.concatenate([_child(key, one, sig), _child(key[also], two[also], sig[also])]), both(cid), both(n), both(sig)
-
-
 def _branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From key, cid, n, sig: the grandchildren that each class goes on to. A key alone picks its coordinates: one, and in a quarter of nodes a second."""
+    """From key, cid, n, sig: the children that each class goes on to. A key alone picks its coordinates: one, and in half of nodes a second."""
     for batch in batches:
         if batch.num_rows:
-            at = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
-            yield _emit([_step(*_step(*at))[:3]])
+            key, cid, n, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+            one = (_mix(key ^ _C[10]) % _U(COORDINATES)).astype(np.int64)
+            two = (_mix(key ^ _C[11]) % _U(COORDINATES)).astype(np.int64)
+            also = (_mix(key ^ _C[12]) & _U(1) == 0) & (one != two)
+            yield _emit([(_child(key, one, sig), cid, n), (_child(key[also], two[also], sig[also]), cid[also], n[also])])
+
+
+def miss(similarity: float, depth: int = DEPTH) -> float:
+    """The probability that a pair in crowded nodes is apart in all trees after so many levels. Trees draw on the same coordinates: they are independent only given how many of these agree."""
+    total = 0.0
+    for k in range(COORDINATES + 1):
+        p, apart = k / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - p + p * apart
+            apart = (one + one * one) / 2
+        total += comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) * (1 - p + p * apart) ** (2 * TREES)
+    return total
+
+
+def _across(percent: int):
+    """Of a pair of blocks of a node (i, j, home, cid, n, comp, outside, sig): the pairs of different components, one of them outside the node's main one, that fit in size and agree."""
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        i, j, home, cid, n, comp = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n", "comp"))
+        outside, sig = t["outside"].to_numpy(), _matrix(t["sig"])
+        same_block = i[0] == j[0]
+        left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def compare(x: np.ndarray, y: np.ndarray) -> None:
+            columns = np.ascontiguousarray(sig[y].T)
+            for at in range(0, len(x), 256):
+                some = x[at : at + 256]
+                agree = np.zeros((len(some), len(y)), np.uint8)
+                for c in range(COORDINATES):
+                    agree += sig[some, c][:, None] == columns[c]
+                u, v = np.nonzero(agree >= AGREE)
+                a, b = some[u], y[v]
+                ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+                out.append((np.minimum(cid[a], cid[b])[ok], np.maximum(cid[a], cid[b])[ok], agree[u, v][ok].astype(np.int32)))
+
+        compare(left[outside[left]], right)
+        if not same_block:
+            compare(left[~outside[left]], right[outside[right]])
+        a, b, same = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        return pa.table({"a": a, "b": b, "same": same})
+
+    return run
 
 
 def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +273,14 @@ class _Join:
         return df
 
     def try_pairs(self, pairs: DataFrame, best_first: bool = False) -> None:
-        """All links among candidate pairs; a pair is tried once. best_first: in two rounds, the best partner of each class, then only pairs that still join two components."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        good = self.alike(pairs)
+        """All links among candidate pairs; a pair is tried once."""
+        self.try_alike(self.alike(self.untried(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), best_first)
+
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
+
+    def try_alike(self, good: DataFrame, best_first: bool) -> None:
+        """All links among pairs (a, b, same) of a written table. best_first: in two rounds, the best partner of each class, then only pairs that still join two components."""
         self.tried = good.select("a", "b") if self.tried is None else self.tried.unionByName(good.select("a", "b"))
         if not best_first:
             self.confirm(good)
@@ -282,9 +328,12 @@ class _Join:
         left = self.members(left.select("key", "cid", "n"))
         counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"))
         main = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp")).alias("x")).select("key", F.col("x.cid_comp").alias("main"))
-        outside = left.join(main, "key").where("cid_comp <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("cid_comp").alias("ac"))
-        across = outside.join(left.select("key", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("cid_comp").alias("bc")), "key").where((F.col("ac") != F.col("bc")) & _sizes_fit(self.percent, "an", "bn"))
-        self.try_pairs(across.select("a", "b"))
+        blocks, home = F.ceil(F.col("m") / BLOCK).cast("int"), F.col("home")
+        placed = left.join(main, "key").join(self.classes.select("cid", "sig"), "cid").withColumn("home", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        dealt = placed.select("key", "home", "cid", "n", F.col("cid_comp").alias("comp"), (F.col("cid_comp") != F.col("main")).alias("outside"), "sig", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.select("key", F.least(home, "other").alias("i"), F.greatest(home, "other").alias("j"), "home", "cid", "n", "comp", "outside", "sig")
+        pairs = dealt.groupBy("key", "i", "j").applyInArrow(_across(self.percent), "a long, b long, same int").distinct()
+        self.try_alike(materialize(self.untried(pairs), "across"), best_first=True)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,36 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == brute_groups(dict(rows), 4, 80)
 
 
+def test_pairs_at_the_threshold_stay_together():
+    # Pairs whose coordinates agree with probability 0.8, in nodes that are crowded down to the last level.
+    rng, pairs = np.random.default_rng(7), 20_000
+    left = rng.integers(0, 2**32, (pairs, near_dedup.COORDINATES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+    sig = np.stack([left, right], 1).reshape(2 * pairs, -1)
+    cid, n = np.arange(2 * pairs), np.full(2 * pairs, 100)
+    bytes_of = lambda ids: pa.array([sig[i].tobytes() for i in ids], pa.binary())
+    (level,) = near_dedup._roots([pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), bytes_of(cid)], ["cid", "n", "sig"])])
+    for _ in range(near_dedup.DEPTH):
+        (level,) = near_dedup._branch([pa.RecordBatch.from_arrays([*level.columns, bytes_of(level.column(1).to_numpy())], ["key", "cid", "n", "sig"])])
+    key, pair = level.column(0).to_numpy(), level.column(1).to_numpy()
+    nodes = np.unique(np.stack([key, pair], 1), axis=0)
+    same = (nodes[1:, 0] == nodes[:-1, 0]) & (nodes[1:, 1] // 2 == nodes[:-1, 1] // 2)
+    assert pairs - len(np.unique(nodes[1:][same, 1] // 2)) == 0
+
+
+def test_near_dedup_compares_what_is_left_in_blocks(spark, monkeypatch):
+    # Small blocks, and nodes that all count as large: every link comes from the last comparison or from centres.
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(words) for _ in range(80)]
+    rows = [(i, " ".join(shared[:70] + [rng.choice(words) for _ in range(30)])) for i in range(60)]
+    rows += [(100 + i, t + f" x{i}") for i, t in rows[::3]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == brute_groups(dict(rows), 4, 80)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
