@@ -44,6 +44,16 @@ def test_html_without_article():
     assert html_extract.extract(page) == f"Head\n\n{long_}\n\nShort.\n\n{long_}"
 
 
+def test_html_article_mark_is_a_prior():
+    long_ = "This is the text of the page and it has many of the words that we all know, so that it reads as the main part of it for all."
+    listing = " ".join(f"key{i}=value{i}" for i in range(40))
+    for teaser in ('<div class="text"><p>A teaser.</p></div>', "<article><p>A teaser.</p></article>"):
+        assert html_extract.extract(f"<body>{teaser}<div><p>{long_}</p><p>Short.</p><p>{long_}</p></div></body>") == f"A teaser.\n\n{long_}\n\nShort.\n\n{long_}"
+    # Within the mark: a listing goes with its neighbours, links and a copyright line are out; outside, a listing is out.
+    page = f"<body><p>{listing}</p><article><p>{long_}</p><p>{listing}</p><p><a href=1>Only links here</a></p><p>© 2024 Us</p></article></body>"
+    assert html_extract.extract(page) == f"{long_}\n\n{listing}"
+
+
 def test_html_second_pass():
     kinds = ["short", "good", "short", "near-good", "bad", "short", "near-good", "good", "short"]
     assert html_extract.second_pass(kinds) == [False, True, False, True, False, False, True, True, False]
