@@ -45,6 +45,15 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), SEPARATORS), "")
 
 
+def row_key(digest: Column, id_: Column) -> Column:
+    """A row's own key, never null: the digest of its text, and its identifier if it has one."""
+    return F.concat_ws("/", digest, id_.cast("long").cast("string"))
+
+
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 FILTER_BITS = 1 << 26  # the most: 8 MB when all are set, however many keys went in
 _PER_ROW = 32768  # what bitmap_construct_agg packs into a row
 

@@ -8,10 +8,10 @@ word. Only DataFrame operations are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, row_key, text_md5, words_of
 
 #: Rows of the prefix table (about 0.5 KB each) up to which it is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -35,16 +35,16 @@ def _prefixes(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS, key: Column | None = None) -> DataFrame:
     """A row for each distinct doc_id of docs (doc_id, text): doc_id, n_words, n_hit (words inside any occurrence of a window
     of benchmark), items (the item_ids with occurring windows, as sorted strings).
 
     Items of fewer words than width are one window; items and documents without words (also null ones) hit nothing.
     Repeated items count once by item_id; rows that repeat a doc_id are laid over each other: n_words is the longest one's,
     n_hit counts the places hit in any of them. A null doc_id is a group of its own; items without an id are left out.
-    Other columns are ignored.
+    Other columns are ignored. Another key may stand for doc_id.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
+    src = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), words_of(F.col("text")).alias("w"))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct()
     items = materialize(items, "items")
     vocabulary = items.select(F.explode("item_words").alias("word")).distinct()
@@ -116,6 +116,7 @@ FROM d LEFT JOIN cover c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id =
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with any hit go."""
-    hit = materialize(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id"), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Pipeline stage: documents with any hit go, each judged by its own text, also where ids repeat or are null."""
+    key = row_key(text_md5(F.col("text")), F.col("doc_id"))
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key).where("n_hit > 0").select(F.col("doc_id").alias("_key"))
+    return docs.withColumn("_key", key).join(materialize(hit, "contaminated"), "_key", "left_anti").select(docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, may_be_in, small_batches
+from .common import bit_filter, materialize, may_be_in, row_key, small_batches, text_md5
 
 COORDINATES = 64
 TREES = 12
@@ -361,9 +361,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the least doc_id stays."""
-    gone = materialize(near_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the least
+    doc_id stays, or one without an id where none has one; of different texts under that id, the one of the least digest.
+    Rows equal in id and text share their fate. Texts without words stay.
+    """
+    join = _Join(docs, 5, 80)
+    join.run()
+    comp = join.labelled(join.classes.select("cid", "mark"), "cid").select("mark", "cid_comp")
+    rows = materialize(join.rows.where("n > 0").select("doc_id", "tk", "mark").join(comp, "mark").drop("mark"), "judged")
+    heads = rows.groupBy("cid_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("head"))
+    others = rows.join(heads, "cid_comp").where(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tk") == F.col("head.tk"))))
+    gone = materialize(others.select(row_key(F.col("tk"), F.col("doc_id")).alias("_key")).distinct(), "gone")
+    return docs.withColumn("_key", row_key(text_md5(F.col("text")), F.col("doc_id"))).join(gone, "_key", "left_anti").select(docs.columns)
 
 
 #: Exhaustive: every pair of documents that share a shingle, for small tables.

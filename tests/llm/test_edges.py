@@ -83,3 +83,25 @@ def test_stages(spark, folder, k):
     if name == "decontamination":
         assert not {1, 2, 7} & {r.doc_id for r in out.collect()}
     assert stage(spark, d.where("false"), folder).count() == 0
+
+
+def stay(spark, folder, k, rows):
+    out = corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), folder)
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
+def test_stages_judge_each_row_by_its_own_text(spark, folder):
+    a, b, c = ("alpha beta gamma delta", "epsilon zeta eta theta", "iota kappa lambda mu")
+    # Exact copies: unique texts without an id or under a repeated one stay, copies without an id go for those with one.
+    rows = [(None, a, "x"), (None, a, "y"), (None, b, "x"), (5, b, "x"), (5, c, "y"), (5, c.upper(), "x"), (6, "nu", "x"), (6, "xi", "x")]
+    assert stay(spark, folder, 1, rows) == sorted([(None, a), (5, b), (5, c.upper()), (6, "nu"), (6, "xi")], key=repr)
+    # Near copies: one of a group stays, whatever its ids are, and another text under the same id as a copy.
+    w = [f"w{i}" for i in range(80)]
+    near = [" ".join([*w, x]) for x in ("p", "q", "r")]
+    lone = [" ".join([*w[::-1], x]) for x in ("p", "q")]
+    rows = [(1, near[0], "x"), (2, near[1], "x"), (2, a, "x"), (None, near[2], "x"), (None, lone[0], "x"), (None, lone[1], "x"), (None, b, "x")]
+    out = stay(spark, folder, 2, rows)
+    assert [x for x in out if x[1] not in lone] == sorted([(1, near[0]), (2, a), (None, b)], key=repr) and sum(x[1] in lone for x in out) == 1
+    # Benchmark passages: only the rows that hold one go.
+    rows = [(None, "say three four five six now", "x"), (None, a, "x"), (7, "three four five six", "x"), (7, b, "x")]
+    assert stay(spark, folder, 3, rows) == sorted([(None, a), (7, b)], key=repr)
