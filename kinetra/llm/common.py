@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/kinetra/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hold Arrow batches of texts to so many rows (Spark's own default is 10,000): a batch is held by the executor and by its Python worker, and texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def session(spark: SparkSession, settings: dict[str, object]) -> Iterator[None]:
+    """Settings that hold while a table is written, and are then as they were."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Rows of an Arrow batch of texts (Spark's own default is 10,000): a batch is held by the executor and by its Python worker, and texts may be long.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500}
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, may_be_in, row_key, small_batches, text_md5
+from .common import SMALL_BATCHES, bit_filter, materialize, may_be_in, row_key, session, text_md5
 
 COORDINATES = 64
 TREES = 12
@@ -231,11 +231,11 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent = width, percent
-        small_batches(docs.sparkSession)
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         self.texts = src.select("doc_id", F.md5(F.col("text").cast("binary")).alias("tk"), "text")
         sketched = self.texts.mapInArrow(_sketch(width), "doc_id long, tk string, n long, mark binary, sig binary")
-        self.rows = materialize(sketched, "sketches")
+        with session(docs.sparkSession, SMALL_BATCHES):
+            self.rows = materialize(sketched, "sketches")
         classes = self.rows.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.min(F.struct("tk", "n", "sig")).alias("x"))
         self.classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "mark", "doc", "x.tk", "x.n", "x.sig"), "classes")
         self.tried: DataFrame | None = None

@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-No piece has a space mark after another character, so a text falls into words (a run of marks and what follows) that are
-encoded on their own. The distinct words are exploded into substrings of bounded length, equi-joined to the piece table
-and grouped into a lattice of edges a word, which Spark's higher-order aggregate folds into pieces: for a unigram model by
-Viterbi's rule, for a BPE model by its merge rule (the pair with the best score first, the leftmost of equals), since
-the best path over BPE scores is not what such a model means. Chunks of documents then look their words up.
+Where no piece holds two neighbouring characters side by side, a text can be cut, and what lies between cuts is encoded on
+its own: its words. The distinct words are exploded into substrings of bounded length, equi-joined to the piece table and
+grouped into a lattice of edges a word, which Spark's higher-order aggregate folds into pieces: for a unigram model by
+Viterbi's rule, for a BPE model by its merge rule (the pair with the best score first, the leftmost of equals), since the
+best path over BPE scores is not what such a model means.
+
+Documents are cut once, in chunks of a bounded number of bytes: a chunk is its distinct words and its documents as numbers
+of them. Chunks get the ids of words that many chunks share from a bounded table that every worker holds, and of the
+others by a join.
 """
 
 from __future__ import annotations
@@ -16,16 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import SMALL_BATCHES, materialize, session
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 16 << 20  # of input a chunk
+CHUNK_BYTES = 16 << 20  # of text a chunk, or one longer document
+SHARED = 1 << 17  # words of the table that every worker holds: some 20 bytes each
+WORDS_A_TASK = 50_000  # that are folded; each has some dozens of edges
 LONG = 60  # characters of a word beyond which the rule runs outside the aggregate, whose state is a number of 64 bits
 
 
@@ -44,16 +51,19 @@ class Pieces:
     def longest(self) -> int:
         return max((len(self.pieces[i]) for i in self.plain), default=1)
 
+    @property
+    def bigrams(self) -> frozenset[str]:
+        """All pairs of neighbouring characters within a piece. Between two others no piece reaches across, so a text can be cut there."""
+        return frozenset(p[k : k + 2] for p in (self.pieces[i] for i in self.plain) for k in range(len(p) - 1))
+
     @property
     def pattern(self) -> str:
-        """What a word is. Words end where no piece can reach across: before a space mark, around white space that is in no
-        longer piece, and after letters or digits before a character that no piece has behind them."""
-        inner = {p[k : k + 2] for p in (self.pieces[i] for i in self.plain) for k in range(len(p) - 1)}
+        """A first cut of texts, all of it where bigrams allow it: before a space mark, around white space that is in no longer
+        piece, and between letters and other characters, but for the letters that some piece joins to one."""
+        inner = self.bigrams
         alone = "".join(c for c in "\n\r\t" if not any(c in x for x in inner))
-        held = {x[1] for x in inner if re.match(r"\w", x[0])}
-        after = "".join(re.escape(c) for c in sorted({c for i in self.plain for c in self.pieces[i]} - held) if not re.match(rf"[\w{MARK}]", c))
-        stop = f"[^{MARK}{alone}]"
-        return rf"{MARK}*\w+(?=[{MARK}{alone}{after}]|\Z)|{MARK}*{stop}+|{MARK}+" + (f"|[{alone}]" if alone else "")
+        joined = "".join(sorted(re.escape(x[0]) for x in inner if re.match(r"\w", x[0]) and not re.match(rf"[\w{MARK}]", x[1])))
+        return rf"{MARK}*[^\W{joined}]++(?!\w)|{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
 
 
 def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
@@ -69,16 +79,11 @@ def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
     return Pieces(tuple(p.id_to_piece(i) for i in ids), tuple(float(p.get_score(i)) for i in ids), plain, bytes_, p.unk_id(), kind)
 
 
-def words_of(text: str, pattern: re.Pattern) -> list[str]:
-    """The words of a text with its spaces as marks and one mark before it; none for an empty text."""
-    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
 # ---- the lattice -----------------------------------------------------------------------------------------------------
 
 
 def lattice(words: DataFrame, table: Pieces) -> DataFrame:
-    """From distinct words (word): word and its edges, the substrings of two characters or more that are pieces.
+    """From rows of distinct words (word, and what else they have): each with its edges, the substrings of two characters or more that are pieces.
 
     An edge has a key, rank * 256 + start, where better scores have lower ranks (the least key is the best edge, the leftmost
     of equals), and two sets of places as bits: its ends, and what lies between them.
@@ -87,16 +92,16 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     order = {s: r for r, s in enumerate(sorted({table.scores[i] for i in table.plain}, reverse=True))}
     rows = [("", -1), *((table.pieces[i], order[table.scores[i]]) for i in sorted(table.plain) if len(table.pieces[i]) > 1)]
     pieces = words.sparkSession.createDataFrame(rows, "piece string, rank long").coalesce(1)  # as large as the model, whatever the corpus
-    n = F.char_length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
+    n, names = F.char_length("word"), words.columns
+    spans = words.select(*names, F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
     # Each word has the empty substring once, which meets the empty piece, so that words without edges stay.
     lengths = F.concat(F.when(F.col("start") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(n - F.col("start") >= 2, F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start")))).otherwise(F.array().cast("array<int>")))
-    spans = spans.select("word", "start", F.explode(lengths).alias("length"))
-    cut = spans.select("word", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
+    spans = spans.select(*names, "start", F.explode(lengths).alias("length"))
+    cut = spans.select(*names, "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
     bit = lambda at: F.expr(f"shiftleft(1L, {at})")
     inside = F.expr("shiftleft(shiftleft(1L, length - 1) - 1L, start + 1)")
     edge = F.struct((F.col("rank") * 256 + F.col("start")).alias("key"), bit("start").bitwiseOR(bit("start + length")).alias("ends"), inside.alias("inside"))
-    return cut.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.when(F.col("rank") >= 0, edge)).alias("edges"))
+    return cut.join(F.broadcast(pieces), "piece").groupBy(*names).agg(F.collect_list(F.when(F.col("rank") >= 0, edge)).alias("edges"))
 
 
 #: The fold over a word's edges. Its state is one number, a bit for each cut between symbols (0 and the end included). A step
@@ -174,7 +179,7 @@ def _packing(table: Pieces) -> type:
 
 
 def _resolve(table: Pieces):
-    """From word and cuts (bits or a list; null: a long word) to word and packed ids: each symbol's piece, else its bytes, else unknown."""
+    """From word, n and cuts (bits or a list; null: a long word) to word, n and packed ids: each symbol's piece, else its bytes, else unknown."""
     kind = _packing(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,118 +193,218 @@ def _resolve(table: Pieces):
 
         for batch in batches:
             out = []
-            for word, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word, cuts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if cuts is None:
                     cuts = _cuts_of(word, table, score)
                 elif isinstance(cuts, int):
                     cuts = [i for i in range(len(word) + 1) if cuts >> i & 1]
                 out.append(np.array([x for a, b in zip(cuts, cuts[1:]) for x in ids(word[a:b])], kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["word", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["word", "n", "packed"])
 
     return run
 
 
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
-    """From distinct words (word): word and its ids, packed."""
-    n = F.char_length("word")
-    short, long_ = words.where(n <= LONG), words.where(n > LONG)
+    """From distinct words (word, n): both and the word's ids, packed. Rows that lie together by word stay so: nothing is shuffled."""
+    size = F.char_length("word")
+    short, long_ = words.where(size <= LONG), words.where(size > LONG)
     if table.kind == "bpe":
-        cut = lattice(short, table).select("word", F.when(F.size("edges") > 0, F.expr(MERGE)).otherwise(F.expr("shiftleft(2L, char_length(word)) - 1L")).alias("cuts"))
-        kind = "long"
+        folded = F.when(F.size("edges") > 0, F.expr(MERGE)).otherwise(F.expr("shiftleft(2L, char_length(word)) - 1L"))
+        cut, kind = lattice(short, table).select("word", "n", folded.alias("cuts")), "long"
     else:
         rows = [("", None), *((table.pieces[i], table.scores[i]) for i in sorted(table.plain))]
         pieces = words.sparkSession.createDataFrame(rows, "piece string, score double").coalesce(1)
-        spans = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(table.longest), n - F.col("start")))).alias("length"))
-        edges = spans.withColumn("piece", F.expr("substring(word, start + 1, length)")).join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("stop"), "score"))).alias("edges"))
-        cut = edges.select("word", _viterbi(F.col("edges"), n, min(table.scores) - 10).alias("cuts"))
+        spans = short.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+        lengths = F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(table.longest), size - F.col("start")))
+        found = spans.select("*", F.explode(lengths).alias("length")).withColumn("piece", F.expr("substring(word, start + 1, length)")).join(F.broadcast(pieces), "piece")
+        edge = F.when(F.col("score").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("stop"), "score"))
+        cut = found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges")).select("word", "n", _viterbi(F.col("edges"), size, min(table.scores) - 10).alias("cuts"))
         kind = "array<int>"
-    return cut.unionByName(long_.select("word", F.lit(None).cast(kind).alias("cuts"))).mapInArrow(_resolve(table), "word string, packed binary")
+    return cut.unionByName(long_.select("word", "n", F.lit(None).cast(kind).alias("cuts"))).mapInArrow(_resolve(table), "word string, n long, packed binary")
 
 
 # ---- documents -------------------------------------------------------------------------------------------------------
 
 
-def _chunk_words(rule: str):
-    """Distinct words of each chunk that a task meets: held until its end, at most the words of a split."""
+class _Numbers(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    to = np.cumsum(length)
+    return np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - length), length)
+
+
+class _Cutter:
+    """Cuts texts into words: first by a pattern, then the distinct results at every pair of characters that no piece holds."""
+
+    def __init__(self, table: Pieces):
+        self.find = re.compile(table.pattern).findall
+        inner = table.bigrams
+        chars = {c: i + 1 for i, c in enumerate(sorted({c for x in inner for c in x}))}
+        self.kind, self.together = np.zeros(0x110000, np.uint16), np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for c, i in chars.items():
+            self.kind[ord(c)] = i
+        for x in inner:
+            self.together[chars[x[0]], chars[x[1]]] = True
+
+    def atoms(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct atoms of distinct words, the atoms' numbers word by word, and how many each word has."""
+        line = "".join(words)
+        kinds = self.kind[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
+        cut = np.ones(len(kinds), bool)
+        cut[:-1] = ~self.together[kinds[:-1], kinds[1:]]
+        cut[last] = True
+        stops = np.flatnonzero(cut) + 1
+        numbers = _Numbers()
+        flat = np.fromiter((numbers[line[a:b]] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())), np.int64, len(stops))
+        return list(numbers), flat, np.diff(np.searchsorted(stops, last + 1), prepend=-1)
+
+
+def words_of(text: str, table: Pieces) -> list[str]:
+    """The words of a text with its spaces as marks and one mark before it; none for an empty text."""
+    cutter = _Cutter(table)
+    coarse = cutter.find(MARK + text.replace(" ", MARK)) if text else []
+    if not coarse:
+        return []
+    distinct = list(dict.fromkeys(coarse))
+    names, flat, size = cutter.atoms(distinct)
+    begin, at = np.cumsum(size) - size, dict(zip(distinct, range(len(distinct))))
+    return [names[i] for w in coarse for i in flat[begin[at[w]] : begin[at[w]] + size[at[w]]]]
+
+
+CHUNK = "rows array<long>, sizes array<int>, sums binary, words array<string>, z binary"
+
+
+class _Chunk:
+    """Documents as numbers of their distinct words, the most frequent ones first."""
+
+    def __init__(self, cutter: _Cutter, check: bool):
+        self.cutter, self.check, self.bytes = cutter, check, 0
+        self.coarse, self.rows, self.docs, self.sums = _Numbers(), [], [], []
+
+    def add(self, row: int | None, text: str) -> None:
+        raw = text.encode("utf-8", "surrogatepass")
+        found = self.cutter.find(MARK + text.replace(" ", MARK)) if text else []
+        self.rows.append(row)
+        self.docs.append(np.fromiter(map(self.coarse.__getitem__, found), np.int32, len(found)))
+        self.sums.append(xxhash.xxh3_128_digest(raw) if self.check else b"")
+        self.bytes += len(raw)
+
+    def batch(self) -> pa.RecordBatch:
+        words, flat, size = self.cutter.atoms(list(self.coarse)) if self.coarse else ([], np.empty(0, np.int64), np.empty(0, np.int64))
+        which = np.concatenate(self.docs)
+        length = size[which]
+        flat = flat[_runs((np.cumsum(size) - size)[which], length)]
+        upto = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(x) for x in self.docs])]
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.rows], pa.list_(pa.int64())), pa.array([np.diff(upto, prepend=0)], pa.list_(pa.int32())), pa.array([b"".join(self.sums)], pa.binary()),
+                pa.array([[words[i] for i in order]], pa.list_(pa.string())), pa.array([_pack(rank[flat])], pa.binary()),
+            ],
+            ["rows", "sizes", "sums", "words", "z"],
+        )
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as their low bytes, then the next ones, then the rest, compressed: the high ones are mostly 0."""
+    planes = (numbers.astype(np.uint8), (numbers >> 8).astype(np.uint8), (numbers >> 16).astype(np.uint16))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in planes))
+
+
+def _unpack(z: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(z)
+    n = len(raw) // 4
+    low, mid, high = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n), np.frombuffer(raw[2 * n :], np.uint16)
+    return low.astype(np.int64) + (mid.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
+
+
+def _chunks(table: Pieces, check: bool, chunk_bytes: int):
+    """Documents (row, text) as chunks. A task holds one chunk: its documents' numbers and distinct words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, seen = re.compile(rule), {}
+        cutter = _Cutter(table)
+        chunk = _Chunk(cutter, check)
         for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.setdefault(chunk, set()).update(words_of(text.as_py(), pattern))
-        for chunk, words in seen.items():
-            words = list(words)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], ["chunk", "word"])
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                chunk.add(row, text.as_py())
+                if chunk.bytes >= chunk_bytes:
+                    yield chunk.batch()
+                    chunk = _Chunk(cutter, check)
+        if chunk.rows:
+            yield chunk.batch()
 
     return run
 
 
-def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of a batch, by chunk, as one compressed blob with their rows and lengths in bytes."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        by: dict[int, list[int]] = {}
-        for i, chunk in enumerate(batch.column(0).to_pylist()):
-            by.setdefault(chunk, []).append(i)
-        for chunk, places in by.items():
-            texts = [batch.column(2)[i].as_py().encode("utf-8", "surrogatepass") for i in places]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([[batch.column(1)[i].as_py() for i in places]], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())],
-                ["chunk", "rows", "sizes", "z"],
-            )
-
-
-def _assemble(table: Pieces, check: bool):
-    """Encodes a chunk's documents from its words' ids; with check also tells whether each decodes to its text."""
-    rule, raw, kind = table.pattern, raw_pieces(table) if check else [], _packing(table)
-
-    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        pattern, unpack = re.compile(rule), zstandard.ZstdDecompressor()
-        packed = words.column("packed").to_pylist()
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int64) // np.dtype(kind).itemsize
-        flat = np.frombuffer(b"".join(packed), kind)
-        at = dict(zip(words.column("word").to_pylist(), range(len(packed))))
-        rows, out, exact = [], [], []
-        for r, sizes, z in zip(docs.column("rows"), docs.column("sizes"), docs.column("z")):
-            rows += r.as_py()
-            whole, begin = unpack.decompress(z.as_py()), 0
-            for size in sizes.as_py():
-                text = whole[begin : begin + size].decode("utf-8", "surrogatepass")
-                begin += size
-                which = np.fromiter(map(at.__getitem__, words_of(text, pattern)), np.int64)
-                length = ends[which + 1] - ends[which]
-                to = np.cumsum(length)
-                # each word's run of ids: places within the flat array, word by word
-                ids = flat[np.arange(to[-1] if len(to) else 0) + np.repeat(ends[which] - (to - length), length)]
-                out.append(ids.astype(np.int32))
-                exact.append(decode_ids(ids.tolist(), raw) == text if check else None)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-        return pa.table({"doc_id": pa.array(rows, pa.int64()), "ids": lists, "exact": pa.array(exact, pa.bool_())})
+def _assemble(table: Pieces, shared: dict[str, bytes], check: bool):
+    """The documents of a chunk from its words' ids; with check also whether each decodes to its text, by its checksum."""
+    raw, kind = raw_pieces(table) if check else [], _packing(table)
+
+    def run(others: pa.Table, chunk: pa.Table) -> pa.Table:
+        packed = [shared.get(w) for w in chunk["words"][0].values.to_pylist()]
+        for place, ids in zip(others["place"].to_pylist(), others["packed"].to_pylist()):
+            packed[place] = ids
+        ends = np.cumsum([0, *map(len, packed)]) // np.dtype(kind).itemsize
+        which, sizes = _unpack(chunk["z"][0].as_py()), np.array(chunk["sizes"][0].as_py(), np.int64)
+        length = np.diff(ends)[which]
+        ids = np.frombuffer(b"".join(packed), kind)[_runs(ends[which], length)].astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.concatenate([[0], np.cumsum(length)])[upto].astype(np.int32)
+        exact: list[bool | None] = [None] * len(sizes)
+        if check:
+            sums, decoded = chunk["sums"][0].as_py(), [b"".join([raw[i] for i in np.frombuffer(x, kind)]).replace(MARK.encode(), b" ") for x in packed]
+            for k in range(len(sizes)):
+                text = b"".join(map(decoded.__getitem__, which[upto[k] : upto[k + 1]].tolist())).removeprefix(b" ")
+                exact[k] = xxhash.xxh3_128_digest(text) == sums[16 * k : 16 * k + 16]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+        return pa.table({"doc_id": chunk["rows"][0].values, "ids": lists, "exact": pa.array(exact, pa.bool_())})
 
     return run
 
 
-def encode(docs: DataFrame, table: Pieces, check: bool = False) -> DataFrame:
+def _shared(encoded: DataFrame, most: int) -> DataFrame:
+    """Of words (word, n, packed) those that stand in the most chunks, `most` at most: the least count that so many words reach is found from counts a twelfth of an octave apart."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 12)
+    total, least = 0, None
+    for r in encoded.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect():  # 12 rows an octave
+        total += r["k"]
+        if total > most:
+            break
+        least = r["step"]
+    return encoded.where(step >= least) if least is not None else encoded.limit(0)
+
+
+def encode(docs: DataFrame, table: Pieces, check: bool = False, chunk_bytes: int = CHUNK_BYTES, shared_words: int = SHARED) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, ids (and exact, with check: whether decoding gives the text back).
 
     The ids are those of the model's own rules: for a BPE model the same as its library's. Null and empty texts have no ids.
-    Repeated rows repeat theirs; a null doc_id stays null; other columns are ignored. The words of a chunk (at most a split
-    of the input) and its texts are what a task holds.
+    Repeated rows repeat theirs; a null doc_id stays null; other columns are ignored; docs may be any query. What a task
+    holds is a chunk (or one longer document): its words and its documents as numbers.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    if not docs.inputFiles():
-        docs = materialize(docs.select("doc_id", "text"), "documents")
-    parts = -(-int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) // CHUNK_BYTES)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(text), F.lit(parts))).alias("chunk"), F.col("doc_id").cast("long").alias("row"), text.alias("text"))
-    pairs = materialize(src.select("chunk", "text").mapInArrow(_chunk_words(table.pattern), "chunk long, word string"), "words")
-    encoded = materialize(encode_words(pairs.select("word").distinct(), table), "encoded")
-    known = pairs.join(encoded, "word").select("chunk", "word", "packed")
-    blobs = src.mapInArrow(_blobs, "chunk long, rows array<long>, sizes array<long>, z binary")
-    out = known.groupBy("chunk").cogroup(blobs.groupBy("chunk")).applyInArrow(_assemble(table, check), "doc_id long, ids array<int>, exact boolean")
+    src = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    with session(docs.sparkSession, SMALL_BATCHES):
+        # Chunks are named once they are written: whoever reads them later, and how often, sees the same ones.
+        cut = src.mapInArrow(_chunks(table, check, chunk_bytes), CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*")
+        chunks = materialize(cut, "chunks", compression="zstd")
+    places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
+    size = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
+    words = places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(1 + size // (2 * WORDS_A_TASK), "word")
+    # A task's words are folded from a hash table, without sorting their edges first.
+    with session(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 4 * WORDS_A_TASK}):
+        encoded = materialize(encode_words(words, table), "encoded")
+    common = _shared(encoded, shared_words)
+    held = {r["word"]: bytes(r["packed"]) for r in common.select("word", "packed").toLocalIterator()}  # shared_words at most
+    others = places.join(F.broadcast(common.select("word")), "word", "left_anti").join(encoded.select("word", "packed"), "word").select(F.col("chunk").alias("of"), "place", "packed")
+    out = others.groupBy("of").cogroup(chunks.groupBy("chunk")).applyInArrow(_assemble(table, held, check), "doc_id long, ids array<int>, exact boolean")
     return out if check else out.drop("exact")
 
 

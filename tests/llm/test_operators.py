@@ -66,7 +66,7 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs, texts):
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
-    odd = [(-1, "a  b   c"), (-2, " lead and trail "), (-3, "日本語 テキスト"), (-4, "x" * 200 + "y" * 70), (-5, "tab\tline\n\nend,.;!?)."), (-6, "1234 ７８ \U0001f600"), (-7, "e.g. don't (see: http://a.b/c?d=e)")]
+    odd = [(-1, "a  b   c"), (-2, " lead and trail "), (-3, "日本語 テキスト"), (-4, "x" * 200 + "y" * 70), (-5, "tab\tline\n\nend,.;!?)."), (-6, "1234 ７８ \U0001f600"), (-7, "e.g. don't (see: http://a.b/c?d=e)"), (-8, "snake_case, _x_ m², __init__.py %%%a,b &&c")]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     table = sentence_pieces.load()
     out = sentence_pieces.decode(sentence_pieces.encode(df, table, check=True), table).collect()
@@ -77,13 +77,30 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs, texts):
         assert r.decoded == t
 
 
+@pytest.mark.parametrize("chunk_bytes, shared_words", [(20_000, 500), (50_000, 0)])
+def test_pieces_of_any_query_and_chunks(spark, docs, texts, chunk_bytes, shared_words):
+    """Words outside the shared table come by the join; the input may be a join or an aggregate."""
+    table = sentence_pieces.load()
+    whole = {r.doc_id: r.ids for r in sentence_pieces.encode(docs, table).collect()}
+    joined = docs.join(docs.select(F.col("doc_id").alias("k")).distinct(), F.col("doc_id") == F.col("k")).groupBy("doc_id").agg(F.max("text").alias("text"))
+    got = {r.doc_id: r.ids for r in sentence_pieces.encode(joined, table, chunk_bytes=chunk_bytes, shared_words=shared_words).collect()}
+    assert got == whole
+
+
+def test_words_lose_nothing():
+    table = sentence_pieces.load()
+    for text in ("snake_case, a²b", "x,y.###z\n\n  q", "ΑΒΓ_δ日本 ▁▁"):
+        assert "".join(sentence_pieces.words_of(text, table)) == sentence_pieces.MARK + text.replace(" ", sentence_pieces.MARK)
+    assert sentence_pieces.words_of("", table) == []
+
+
 def test_unigram_fold_is_viterbi(spark):
     rng = random.Random(1)
     pieces = ["a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a", "cab"]
     scores = [rng.uniform(-5, -1) for _ in pieces]
     table = sentence_pieces.Pieces(("<unk>", *pieces), (0.0, *scores), frozenset(range(1, len(pieces) + 1)), (), 0, "unigram")
     words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 5, 8, 8, 8)] + ["▁abca", "▁d"]
-    got = {r.word: np.frombuffer(r.packed, np.uint16).tolist() for r in sentence_pieces.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), table).collect()}
+    got = {r.word: np.frombuffer(r.packed, np.uint16).tolist() for r in sentence_pieces.encode_words(spark.createDataFrame([(w, 1) for w in set(words)], "word string, n long"), table).collect()}
 
     def best(w):
         def ways(at):
