@@ -39,7 +39,7 @@ def session(spark: SparkSession, settings: dict[str, object]) -> Iterator[None]:
 
 
 #: Rows of an Arrow batch of texts (Spark's own default is 10,000): a batch is held by the executor and by its Python worker, and texts may be long.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500}
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
@@ -49,6 +49,18 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """materialize() in as many buckets by a key as there are shuffle partitions: whoever needs the rows of a key together reads them so, without a shuffle."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now: the name is needed no longer, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts without other alphabets take the fast path, where lower() is the same."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -20,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_BATCHES, materialize, session
+from .common import SMALL_BATCHES, bucketed, materialize, session
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 16 << 20  # of text a chunk, or one longer document
+CHUNK_BYTES = 32 << 20  # of text a chunk, or one longer document
 SHARED = 1 << 17  # words of the table that every worker holds: some 20 bytes each
 WORDS_A_TASK = 50_000  # that are folded; each has some dozens of edges
 LONG = 60  # characters of a word beyond which the rule runs outside the aggregate, whose state is a number of 64 bits
@@ -56,15 +57,6 @@ class Pieces:
         """All pairs of neighbouring characters within a piece. Between two others no piece reaches across, so a text can be cut there."""
         return frozenset(p[k : k + 2] for p in (self.pieces[i] for i in self.plain) for k in range(len(p) - 1))
 
-    @property
-    def pattern(self) -> str:
-        """A first cut of texts, all of it where bigrams allow it: before a space mark, around white space that is in no longer
-        piece, and between letters and other characters, but for the letters that some piece joins to one."""
-        inner = self.bigrams
-        alone = "".join(c for c in "\n\r\t" if not any(c in x for x in inner))
-        joined = "".join(sorted(re.escape(x[0]) for x in inner if re.match(r"\w", x[0]) and not re.match(rf"[\w{MARK}]", x[1])))
-        return rf"{MARK}*[^\W{joined}]++(?!\w)|{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
-
 
 def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
     """The piece table of a SentencePiece model file, which lies where the driver runs."""
@@ -85,8 +77,8 @@ def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
 def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     """From rows of distinct words (word, and what else they have): each with its edges, the substrings of two characters or more that are pieces.
 
-    An edge has a key, rank * 256 + start, where better scores have lower ranks (the least key is the best edge, the leftmost
-    of equals), and two sets of places as bits: its ends, and what lies between them.
+    An edge is one number, (rank * 256 + start) * 256 + length, where better scores have lower ranks: the least is the best
+    edge, the leftmost of equals.
     """
     longest = table.longest
     order = {s: r for r, s in enumerate(sorted({table.scores[i] for i in table.plain}, reverse=True))}
@@ -98,19 +90,21 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     lengths = F.concat(F.when(F.col("start") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(n - F.col("start") >= 2, F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start")))).otherwise(F.array().cast("array<int>")))
     spans = spans.select(*names, "start", F.explode(lengths).alias("length"))
     cut = spans.select(*names, "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
-    bit = lambda at: F.expr(f"shiftleft(1L, {at})")
-    inside = F.expr("shiftleft(shiftleft(1L, length - 1) - 1L, start + 1)")
-    edge = F.struct((F.col("rank") * 256 + F.col("start")).alias("key"), bit("start").bitwiseOR(bit("start + length")).alias("ends"), inside.alias("inside"))
+    edge = (F.col("rank") * 256 + F.col("start")) * 256 + F.col("length")
     return cut.join(F.broadcast(pieces), "piece").groupBy(*names).agg(F.collect_list(F.when(F.col("rank") >= 0, edge)).alias("edges"))
 
 
 #: The fold over a word's edges. Its state is one number, a bit for each cut between symbols (0 and the end included). A step
-#: takes the best edge that runs from cut to cut over exactly one other cut, and clears that cut; the sign tells that none is left.
-MERGE = """aggregate(sequence(1, least(size(edges), char_length(word))), shiftleft(2L, char_length(word)) - 1L,
-  (cuts, k) -> IF(cuts < 0, cuts, transform(
-    array(array_min(filter(edges, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inside) = 1))),
-    b -> IF(b IS NULL, cuts | shiftleft(1L, 63), cuts & ~b.inside))[0]),
-  cuts -> cuts & ~shiftleft(1L, 63))"""
+#: takes the best edge that runs from cut to cut over exactly one other cut, and clears that cut; the sign tells that none is
+#: left. Each edge is first given its ends and what lies between them as bits, once (the outer transform holds them).
+MERGE = """transform(array(transform(edges, e -> named_struct('key', e,
+    'ends', shiftleft(1L, CAST(shiftright(e, 8) & 255 AS INT)) | shiftleft(1L, CAST((shiftright(e, 8) & 255) + (e & 255) AS INT)),
+    'inside', shiftleft(shiftleft(1L, CAST(e & 255 AS INT) - 1) - 1L, CAST(shiftright(e, 8) & 255 AS INT) + 1)))),
+  all -> aggregate(sequence(1, least(size(all), char_length(word))), shiftleft(2L, char_length(word)) - 1L,
+    (cuts, k) -> IF(cuts < 0, cuts, transform(
+      array(array_min(filter(all, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inside) = 1))),
+      b -> IF(b IS NULL, cuts | shiftleft(1L, 63), cuts & ~b.inside))[0]),
+    cuts -> cuts & ~shiftleft(1L, 63)))[0]"""
 
 
 def best_path(edges: list[tuple[int, int, float]], n: int, penalty: float) -> list[int]:
@@ -226,25 +220,25 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 # ---- documents -------------------------------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Numbers keys in the order of their first use."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each run, one run after the other."""
     to = np.cumsum(length)
     return np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - length), length)
 
 
-class _Cutter:
-    """Cuts texts into words: first by a pattern, then the distinct results at every pair of characters that no piece holds."""
+def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string or binary array."""
+    offsets = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset) if len(a) else np.zeros(1, np.int32)
+    data = a.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and len(data) else np.empty(0, np.uint8)
+
+
+class Cutter:
+    """Cuts texts into words: first at spaces, then the distinct results at every pair of characters that no piece holds."""
+
+    odd = re.compile("(?<= ) +|^ +")
 
     def __init__(self, table: Pieces):
-        self.find = re.compile(table.pattern).findall
         inner = table.bigrams
         chars = {c: i + 1 for i, c in enumerate(sorted({c for x in inner for c in x}))}
         self.kind, self.together = np.zeros(0x110000, np.uint16), np.zeros((len(chars) + 1, len(chars) + 1), bool)
@@ -253,66 +247,64 @@ class _Cutter:
         for x in inner:
             self.together[chars[x[0]], chars[x[1]]] = True
 
-    def atoms(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct atoms of distinct words, the atoms' numbers word by word, and how many each word has."""
-        line = "".join(words)
-        kinds = self.kind[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
-        cut = np.ones(len(kinds), bool)
+    def _at_spaces(self, texts: pa.Array) -> pa.ListArray:
+        """Texts as what stands behind each of their marks, the one before a text included. Further spaces in a row stay, as marks."""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+        if pc.any(odd).as_py():
+            texts = pa.array([self.odd.sub(lambda m: MARK * len(m[0]), t) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.string())
+        return pc.split_pattern(texts, " ")
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words, the texts as numbers of them, one text after the other, and how many each text has. An empty text has none."""
+        lists = self._at_spaces(texts)
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        if empty.any():
+            keep = np.ones(len(which), bool)
+            keep[(np.cumsum(size) - size)[empty]] = False
+            which, size = which[keep], np.where(empty, 0, size)
+        if not len(which):
+            return pa.array([], pa.string()), np.empty(0, np.int64), size
+        line = MARK + MARK.join(coded.dictionary.to_pylist())
+        points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        last = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64) + 1)
+        kinds, cut = self.kind[points], np.ones(len(points), bool)
         cut[:-1] = ~self.together[kinds[:-1], kinds[1:]]
-        cut[last] = True
+        cut[last - 1] = True
         stops = np.flatnonzero(cut) + 1
-        numbers = _Numbers()
-        flat = np.fromiter((numbers[line[a:b]] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())), np.int64, len(stops))
-        return list(numbers), flat, np.diff(np.searchsorted(stops, last + 1), prepend=-1)
+        width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        offsets = np.concatenate([[0], np.cumsum(width, dtype=np.int64)[stops - 1]]).astype(np.int32)
+        atoms = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), pa.py_buffer(line.encode())).dictionary_encode()
+        upto = np.searchsorted(stops, last) + 1
+        length = np.diff(upto, prepend=0)
+        numbers = atoms.indices.to_numpy()[_runs((upto - length)[which], length[which])]
+        ends = np.concatenate([[0], np.cumsum(length[which])])[np.cumsum(size)]
+        return atoms.dictionary, numbers.astype(np.int64), np.diff(ends, prepend=0)
 
 
 def words_of(text: str, table: Pieces) -> list[str]:
     """The words of a text with its spaces as marks and one mark before it; none for an empty text."""
-    cutter = _Cutter(table)
-    coarse = cutter.find(MARK + text.replace(" ", MARK)) if text else []
-    if not coarse:
-        return []
-    distinct = list(dict.fromkeys(coarse))
-    names, flat, size = cutter.atoms(distinct)
-    begin, at = np.cumsum(size) - size, dict(zip(distinct, range(len(distinct))))
-    return [names[i] for w in coarse for i in flat[begin[at[w]] : begin[at[w]] + size[at[w]]]]
+    words, numbers, _ = Cutter(table)(pa.array([text], pa.string()))
+    return words.take(pa.array(numbers)).to_pylist()
 
 
 CHUNK = "rows array<long>, sizes array<int>, sums binary, words array<string>, z binary"
 
 
-class _Chunk:
+def _chunk(cutter: Cutter, rows: pa.Array, texts: pa.Array, check: bool) -> pa.RecordBatch:
     """Documents as numbers of their distinct words, the most frequent ones first."""
-
-    def __init__(self, cutter: _Cutter, check: bool):
-        self.cutter, self.check, self.bytes = cutter, check, 0
-        self.coarse, self.rows, self.docs, self.sums = _Numbers(), [], [], []
-
-    def add(self, row: int | None, text: str) -> None:
-        raw = text.encode("utf-8", "surrogatepass")
-        found = self.cutter.find(MARK + text.replace(" ", MARK)) if text else []
-        self.rows.append(row)
-        self.docs.append(np.fromiter(map(self.coarse.__getitem__, found), np.int32, len(found)))
-        self.sums.append(xxhash.xxh3_128_digest(raw) if self.check else b"")
-        self.bytes += len(raw)
-
-    def batch(self) -> pa.RecordBatch:
-        words, flat, size = self.cutter.atoms(list(self.coarse)) if self.coarse else ([], np.empty(0, np.int64), np.empty(0, np.int64))
-        which = np.concatenate(self.docs)
-        length = size[which]
-        flat = flat[_runs((np.cumsum(size) - size)[which], length)]
-        upto = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(x) for x in self.docs])]
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.rows], pa.list_(pa.int64())), pa.array([np.diff(upto, prepend=0)], pa.list_(pa.int32())), pa.array([b"".join(self.sums)], pa.binary()),
-                pa.array([[words[i] for i in order]], pa.list_(pa.string())), pa.array([_pack(rank[flat])], pa.binary()),
-            ],
-            ["rows", "sizes", "sums", "words", "z"],
-        )
+    words, numbers, sizes = cutter(texts)
+    order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    sums = b"".join(xxhash.xxh3_128_digest(t.as_buffer()) for t in texts) if check else b""
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    return pa.RecordBatch.from_arrays(
+        [one(rows), one(pa.array(sizes, pa.int32())), pa.array([sums], pa.binary()), one(words.take(pa.array(order))), pa.array([_pack(rank[numbers])], pa.binary())],
+        ["rows", "sizes", "sums", "words", "z"],
+    )
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -325,46 +317,65 @@ def _unpack(z: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(z)
     n = len(raw) // 4
     low, mid, high = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n), np.frombuffer(raw[2 * n :], np.uint16)
-    return low.astype(np.int64) + (mid.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
+    return low + (mid.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
 
 
 def _chunks(table: Pieces, check: bool, chunk_bytes: int):
-    """Documents (row, text) as chunks. A task holds one chunk: its documents' numbers and distinct words."""
+    """Documents (row, text) as chunks. A task holds the texts of one chunk."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(table)
-        chunk = _Chunk(cutter, check)
+        cutter = Cutter(table)
+        held, size = [], 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk.add(row, text.as_py())
-                if chunk.bytes >= chunk_bytes:
-                    yield chunk.batch()
-                    chunk = _Chunk(cutter, check)
-        if chunk.rows:
-            yield chunk.batch()
+            at, upto = 0, size + np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            while at < batch.num_rows:
+                stop = min(int(np.searchsorted(upto, chunk_bytes)) + 1, batch.num_rows)
+                held.append(batch.slice(at, stop - at))
+                size = int(upto[stop - 1])
+                if size >= chunk_bytes:
+                    yield _chunk(cutter, *_joined(held), check)
+                    held, upto, size = [], upto - size, 0
+                at = stop
+        if held:
+            yield _chunk(cutter, *_joined(held), check)
 
     return run
 
 
-def _assemble(table: Pieces, shared: dict[str, bytes], check: bool):
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))
+
+
+def _assemble(table: Pieces, shared: pa.Table, check: bool):
     """The documents of a chunk from its words' ids; with check also whether each decodes to its text, by its checksum."""
-    raw, kind = raw_pieces(table) if check else [], _packing(table)
+    kind = _packing(table)
+    raw = pa.array(raw_pieces(table), pa.binary())
+    shared_words, shared_ids = (shared[c].combine_chunks() for c in ("word", "packed"))
 
     def run(others: pa.Table, chunk: pa.Table) -> pa.Table:
-        packed = [shared.get(w) for w in chunk["words"][0].values.to_pylist()]
-        for place, ids in zip(others["place"].to_pylist(), others["packed"].to_pylist()):
-            packed[place] = ids
-        ends = np.cumsum([0, *map(len, packed)]) // np.dtype(kind).itemsize
-        which, sizes = _unpack(chunk["z"][0].as_py()), np.array(chunk["sizes"][0].as_py(), np.int64)
+        words = chunk["words"][0].values
+        found = pc.index_in(words, value_set=shared_words)
+        if found.null_count != others.num_rows:
+            raise ValueError("a chunk's words and their ids differ")
+        at = found.fill_null(0).to_numpy().copy()
+        at[others["place"].to_numpy()] = len(shared_words) + np.arange(others.num_rows)
+        known = pa.concat_arrays([shared_ids, *others["packed"].chunks]).take(pa.array(at))
+        ends, data = _parts(known)
+        ends, flat = ends // np.dtype(kind).itemsize, data[: ends[-1]].view(kind)
+        which, sizes = _unpack(chunk["z"][0].as_py()), chunk["sizes"][0].values.to_numpy()
         length = np.diff(ends)[which]
-        ids = np.frombuffer(b"".join(packed), kind)[_runs(ends[which], length)].astype(np.int32)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[_runs(ends[which], length)].astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         offsets = np.concatenate([[0], np.cumsum(length)])[upto].astype(np.int32)
         exact: list[bool | None] = [None] * len(sizes)
-        if check:
-            sums, decoded = chunk["sums"][0].as_py(), [b"".join([raw[i] for i in np.frombuffer(x, kind)]).replace(MARK.encode(), b" ") for x in packed]
-            for k in range(len(sizes)):
-                text = b"".join(map(decoded.__getitem__, which[upto[k] : upto[k + 1]].tolist())).removeprefix(b" ")
-                exact[k] = xxhash.xxh3_128_digest(text) == sums[16 * k : 16 * k + 16]
+        if check and len(words):
+            stop, text = _parts(raw.take(pa.array(flat)))
+            decoded = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stop[ends].astype(np.int32)), pa.py_buffer(text)])
+            stop, text = _parts(pc.replace_substring(decoded, MARK.encode(), b" ").take(pa.array(which)))
+            sums = chunk["sums"][0].as_py()
+            bounds = stop[upto].tolist()
+            exact = [xxhash.xxh3_128_digest(text[a + int(b > a and text[a] == 32) : b]) == sums[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+        elif check:
+            exact = [True] * len(sizes)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
         return pa.table({"doc_id": chunk["rows"][0].values, "ids": lists, "exact": pa.array(exact, pa.bool_())})
 
@@ -390,21 +401,26 @@ def encode(docs: DataFrame, table: Pieces, check: bool = False, chunk_bytes: int
     Repeated rows repeat theirs; a null doc_id stays null; other columns are ignored; docs may be any query. What a task
     holds is a chunk (or one longer document): its words and its documents as numbers.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    with session(docs.sparkSession, SMALL_BATCHES):
-        # Chunks are named once they are written: whoever reads them later, and how often, sees the same ones.
+    with session(spark, SMALL_BATCHES):
+        # Chunks are named as they are written: whoever reads them later, and how often, sees the same ones. They are written
+        # in buckets by their names, so that only words and ids are shuffled, never documents.
         cut = src.mapInArrow(_chunks(table, check, chunk_bytes), CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*")
-        chunks = materialize(cut, "chunks", compression="zstd")
+        chunks = bucketed(cut, "chunk", "chunks")
     places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     size = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
-    words = places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(1 + size // (2 * WORDS_A_TASK), "word")
     # A task's words are folded from a hash table, without sorting their edges first.
-    with session(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 4 * WORDS_A_TASK}):
-        encoded = materialize(encode_words(words, table), "encoded")
-    common = _shared(encoded, shared_words)
-    held = {r["word"]: bytes(r["packed"]) for r in common.select("word", "packed").toLocalIterator()}  # shared_words at most
-    others = places.join(F.broadcast(common.select("word")), "word", "left_anti").join(encoded.select("word", "packed"), "word").select(F.col("chunk").alias("of"), "place", "packed")
-    out = others.groupBy("of").cogroup(chunks.groupBy("chunk")).applyInArrow(_assemble(table, held, check), "doc_id long, ids array<int>, exact boolean")
+    folding = {
+        "spark.sql.shuffle.partitions": 1 + size // (2 * WORDS_A_TASK), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 4 * WORDS_A_TASK,
+    }
+    with session(spark, folding):
+        encoded = materialize(encode_words(places.groupBy("word").agg(F.count(F.lit(1)).alias("n")), table), "encoded")
+    common = _shared(encoded, shared_words).select("word", "packed")
+    others = places.join(F.broadcast(common.select("word")), "word", "left_anti").join(encoded.select("word", "packed"), "word")
+    of = others.select(F.col("chunk").alias("of"), "place", "packed").groupBy("of")
+    out = of.cogroup(chunks.groupBy("chunk")).applyInArrow(_assemble(table, common.toArrow(), check), "doc_id long, ids array<int>, exact boolean")
     return out if check else out.drop("exact")
 
 
