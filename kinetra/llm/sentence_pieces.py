@@ -222,8 +222,8 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 
 def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each run, one run after the other."""
-    to = np.cumsum(length)
-    return np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - length), length)
+    to = np.cumsum(length, dtype=np.int32)  # Arrow's offsets within an array are of 32 bits, too
+    return np.arange(to[-1] if len(to) else 0, dtype=np.int32) + np.repeat(start.astype(np.int32) - (to - length.astype(np.int32)), length)
 
 
 def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +266,7 @@ class Cutter:
             keep[(np.cumsum(size) - size)[empty]] = False
             which, size = which[keep], np.where(empty, 0, size)
         if not len(which):
-            return pa.array([], pa.string()), np.empty(0, np.int64), size
+            return pa.array([], pa.string()), np.empty(0, np.int32), size
         line = MARK + MARK.join(coded.dictionary.to_pylist())
         points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
         last = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64) + 1)
@@ -281,7 +281,7 @@ class Cutter:
         length = np.diff(upto, prepend=0)
         numbers = atoms.indices.to_numpy()[_runs((upto - length)[which], length[which])]
         ends = np.concatenate([[0], np.cumsum(length[which])])[np.cumsum(size)]
-        return atoms.dictionary, numbers.astype(np.int64), np.diff(ends, prepend=0)
+        return atoms.dictionary, numbers, np.diff(ends, prepend=0)
 
 
 def words_of(text: str, table: Pieces) -> list[str]:
@@ -297,7 +297,7 @@ def _chunk(cutter: Cutter, rows: pa.Array, texts: pa.Array, check: bool) -> pa.R
     """Documents as numbers of their distinct words, the most frequent ones first."""
     words, numbers, sizes = cutter(texts)
     order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words))
     sums = b"".join(xxhash.xxh3_128_digest(t.as_buffer()) for t in texts) if check else b""
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -317,7 +317,7 @@ def _unpack(z: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(z)
     n = len(raw) // 4
     low, mid, high = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n), np.frombuffer(raw[2 * n :], np.uint16)
-    return low + (mid.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
+    return low + (mid.astype(np.int32) << 8) + (high.astype(np.int32) << 16)
 
 
 def _chunks(table: Pieces, check: bool, chunk_bytes: int):
@@ -345,6 +345,18 @@ def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))
 
 
+PART = 1 << 19  # words of documents that are put together at once
+
+
+def _same(decoded: pa.Array | None, which: np.ndarray, bounds: np.ndarray, sums: bytes) -> list[bool]:
+    """Whether each document, put together from its decoded words without the space before it, has its checksum."""
+    if decoded is None or not len(which):
+        return [True] * (len(bounds) - 1)
+    stop, text = _parts(decoded.take(pa.array(which)))
+    ends = stop[bounds].tolist()
+    return [xxhash.xxh3_128_digest(text[a + int(b > a and text[a] == 32) : b]) == sums[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+
 def _assemble(table: Pieces, shared: pa.Table, check: bool):
     """The documents of a chunk from its words' ids; with check also whether each decodes to its text, by its checksum."""
     kind = _packing(table)
@@ -361,23 +373,23 @@ def _assemble(table: Pieces, shared: pa.Table, check: bool):
         known = pa.concat_arrays([shared_ids, *others["packed"].chunks]).take(pa.array(at))
         ends, data = _parts(known)
         ends, flat = ends // np.dtype(kind).itemsize, data[: ends[-1]].view(kind)
-        which, sizes = _unpack(chunk["z"][0].as_py()), chunk["sizes"][0].values.to_numpy()
-        length = np.diff(ends)[which]
-        ids = flat[_runs(ends[which], length)].astype(np.int32)
-        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        offsets = np.concatenate([[0], np.cumsum(length)])[upto].astype(np.int32)
-        exact: list[bool | None] = [None] * len(sizes)
+        length, decoded = np.diff(ends), None
         if check and len(words):
             stop, text = _parts(raw.take(pa.array(flat)))
             decoded = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stop[ends].astype(np.int32)), pa.py_buffer(text)])
-            stop, text = _parts(pc.replace_substring(decoded, MARK.encode(), b" ").take(pa.array(which)))
-            sums = chunk["sums"][0].as_py()
-            bounds = stop[upto].tolist()
-            exact = [xxhash.xxh3_128_digest(text[a + int(b > a and text[a] == 32) : b]) == sums[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-        elif check:
-            exact = [True] * len(sizes)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-        return pa.table({"doc_id": chunk["rows"][0].values, "ids": lists, "exact": pa.array(exact, pa.bool_())})
+            decoded = pc.replace_substring(decoded, MARK.encode(), b" ")
+        numbers, sums, rows = _unpack(chunk["z"][0].as_py()), chunk["sums"][0].as_py(), chunk["rows"][0].values
+        upto = np.concatenate([[0], np.cumsum(chunk["sizes"][0].values.to_numpy(), dtype=np.int64)])
+        out, at = [], 0
+        while at < len(rows):  # a part of the documents at a time
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PART, "right")) - 1)
+            which, bounds = numbers[upto[at] : upto[stop]], upto[at : stop + 1] - upto[at]
+            ids = flat[_runs(ends[which], length[which])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length[which])])[bounds], pa.int32()), pa.array(ids))
+            exact = pa.nulls(stop - at, pa.bool_()) if not check else pa.array(_same(decoded, which, bounds, sums[16 * at : 16 * stop]), pa.bool_())
+            out.append(pa.RecordBatch.from_arrays([rows[at:stop], lists, exact], ["doc_id", "ids", "exact"]))
+            at = stop
+        return pa.Table.from_batches(out)
 
     return run
 
