@@ -27,7 +27,8 @@ SMALL = 24  # classes of a node that is compared exhaustively
 #: Levels of branching below the roots' children; what is left then is compared across components. A pair at the threshold
 #: that stays in crowded nodes down to the last level is apart in all trees with probability 7e-7 (miss()).
 DEPTH = 3
-BLOCK = 2048  # classes of a block of a node that is compared at the last level
+BLOCK, BLOCK_BYTES = 2048, 16 << 20  # classes, and bytes of their sets, of a block of a node that is compared at the last level
+PAIRS = 500  # of a centre that are confirmed by one task
 #: Of 64 coordinates two sets at the threshold share 51 in expectation, and fewer than this with probability 1e-6.
 AGREE = 35
 
@@ -141,33 +142,91 @@ def miss(similarity: float, depth: int = DEPTH) -> float:
     return total
 
 
+def _shingled(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["cid", "shingles"])
+
+    return run
+
+
+class _Sets:
+    """A union-find over small numbers."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if (up == self.up).all():
+                return up
+            self.up = up
+
+
+def _met(keys: list[np.ndarray], key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x and y share a node with a key below this one, where they are compared already."""
+    owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+    owner, flat = owner[flat < key], flat[flat < key]
+    some, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.cumsum(times > 1) - 1  # of the keys that two have
+    owner, at = owner[times[at] > 1], order[at[times[at] > 1]]
+    out = np.zeros((len(x), len(y)), bool)
+    for low in range(0, int((times > 1).sum()), 4096):
+        member = np.zeros((len(keys), 4096), np.float32)
+        here = (at >= low) & (at < low + 4096)
+        member[owner[here], at[here] - low] = 1
+        out |= member[x] @ member[y].T > 0
+    return out
+
+
 def _across(percent: int):
-    """Of a pair of blocks of a node (i, j, home, cid, n, comp, outside, sig): the pairs of different components, one of them outside the node's main one, that fit in size and agree."""
+    """Of a pair of blocks of a node (key, i, j, home, cid, n, comp, sig, keys, shingles), the first one outside the node's
+    main component: links, confirmed on the full sets, that join two components. They are fewer than the classes."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        i, j, home, cid, n, comp = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n", "comp"))
-        outside, sig = t["outside"].to_numpy(), _matrix(t["sig"])
-        same_block = i[0] == j[0]
+        i, j, home, cid, n = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n"))
+        comp, sig = np.unique(t["comp"].to_numpy(), return_inverse=True)[1], _matrix(t["sig"])
+        shingles = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        keys = [np.array(x, np.int64) for x in t["keys"].to_pylist()]
         left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
-        out: list[tuple[np.ndarray, ...]] = []
-
-        def compare(x: np.ndarray, y: np.ndarray) -> None:
-            columns = np.ascontiguousarray(sig[y].T)
-            for at in range(0, len(x), 256):
-                some = x[at : at + 256]
-                agree = np.zeros((len(some), len(y)), np.uint8)
-                for c in range(COORDINATES):
-                    agree += sig[some, c][:, None] == columns[c]
-                u, v = np.nonzero(agree >= AGREE)
-                a, b = some[u], y[v]
-                ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-                out.append((np.minimum(cid[a], cid[b])[ok], np.maximum(cid[a], cid[b])[ok], agree[u, v][ok].astype(np.int32)))
-
-        compare(left[outside[left]], right)
-        if not same_block:
-            compare(left[~outside[left]], right[outside[right]])
-        a, b, same = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
-        return pa.table({"a": a, "b": b, "same": same})
+        sets, links = _Sets(int(comp.max()) + 1), []
+        columns = np.ascontiguousarray(sig[right].T)
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            agree = np.zeros((len(some), len(right)), np.uint8)
+            for c in range(COORDINATES):
+                agree += sig[some, c][:, None] == columns[c]
+            fits = np.minimum.outer(n[some], n[right]) * 100 >= np.maximum.outer(n[some], n[right]) * percent
+            ok = (agree >= AGREE) & fits & (comp[some][:, None] != comp[right]) & ~_met(keys, t["key"][0].as_py(), some, right)
+            if i[0] == j[0]:
+                ok &= some[:, None] < right
+            for row in np.flatnonzero(ok.any(axis=1)):
+                x = some[row]
+                mine = shingles[x]
+                tried = right[ok[row]]
+                for k in range(0, len(tried), 512):
+                    of = sets.roots()[comp]
+                    y = tried[k : k + 512]
+                    y = y[of[y] != of[x]]
+                    if not len(y):
+                        continue
+                    theirs = np.concatenate([shingles[v] for v in y])
+                    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    both = np.add.reduceat(hit, np.cumsum(n[y]) - n[y], dtype=np.int64)
+                    for v in y[100 * both >= percent * (n[x] + n[y] - both)]:
+                        a, b = sets.find(comp[x]), sets.find(comp[v])
+                        if a != b:
+                            sets.up[max(a, b)] = min(a, b)
+                            links.append((min(cid[x], cid[v]), max(cid[x], cid[v])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -247,15 +306,28 @@ class _Join:
         both = pairs.join(sig.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, same int"), "alike")
 
+    def texts_of(self, cids: DataFrame) -> DataFrame:
+        """cid and the text of each class of a written table of distinct cids. A text is read once, whatever its number of copies."""
+        wanted = materialize(cids.join(self.classes.select("cid", "tk"), "cid"), "wanted")
+        near = may_be_in(self.texts, F.col("tk"), bit_filter(wanted, "tk")).select("tk", "text")
+        return near.groupBy("tk").agg(F.min("text").alias("text")).join(wanted, "tk").select("cid", "text")
+
     def confirm(self, pairs: DataFrame) -> None:
         """Confirm pairs (a, b) of a written table on their full sets and merge the components that links join."""
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "tk"), "cid"), "wanted")
-        if wanted.isEmpty():
+        if pairs.isEmpty():
             return
-        near = may_be_in(self.texts, F.col("tk"), bit_filter(wanted, "tk")).select("tk", "text")
-        texts = materialize(near.groupBy("tk").agg(F.min("text").alias("text")).join(wanted, "tk").select("cid", "text"), "texts")
-        both = pairs.join(texts.withColumnsRenamed({"cid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"cid": "a", "text": "ta"}), "a")
-        links = both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.percent), "a long, b long")
+        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "cid")
+        with session(pairs.sparkSession, SMALL_BATCHES):
+            texts = materialize(self.texts_of(wanted), "texts")
+            # A class in many pairs, the centre of a crowd, has copies of its text, so that its pairs are not one task's.
+            slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("k"))
+            copies = texts.withColumnsRenamed({"cid": "a", "text": "ta"}).join(slices, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slice"))
+            dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("slice"))
+            both = dealt.join(texts.withColumnsRenamed({"cid": "b", "text": "tb"}), "b").join(copies, ["a", "slice"])
+            self.link(materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.percent), "a long, b long"), "links"))
+
+    def link(self, links: DataFrame) -> None:
+        """Merge the components that links (a, b) join."""
         merged = components(self.labelled(links, "a", "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
         if self.comp is not None:
             # Known members follow their component's head; heads and classes without links are in `merged` themselves.
@@ -288,8 +360,10 @@ class _Join:
         best = good.groupBy("b").agg(F.max(F.struct("same", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
         best = materialize(best, "best")
         self.confirm(best)
-        rest = self.labelled(good, "a", "b").where("a_comp <> b_comp").select("a", "b")
-        self.confirm(materialize(rest.join(best, ["a", "b"], "left_anti"), "rest"))
+        self.confirm(materialize(self.apart(good).join(best, ["a", "b"], "left_anti"), "rest"))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        return self.labelled(pairs, "a", "b").where("a_comp <> b_comp").select("a", "b")
 
     def candidates(self, members: DataFrame) -> DataFrame:
         """Pairs of members (key, cid, n, cid_comp, m) of different components: all in small nodes, each with the centre of its size in large ones."""
@@ -312,28 +386,36 @@ class _Join:
         level = materialize(self.classes.select("cid", "n", "sig").mapInArrow(_roots, NODE), "level")
         members = self.members(level)
         self.try_pairs(self.candidates(members), best_first=True)
-        left, found = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n")), None
+        left = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n"))
         for _ in range(DEPTH):
             if left.isEmpty():
-                break
+                return
             level = materialize(left.select("key", "cid", "n").join(self.classes.select("cid", "sig"), "cid").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
             members = self.members(level)
-            more = self.candidates(members)
-            found = more if found is None else found.unionByName(more)
-            left = members.where(F.col("m") > SMALL)
-        if found is None:
+            self.try_pairs(self.candidates(members))
+            left = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n"))
+        self.try_blocks(left)
+
+    def try_blocks(self, left: DataFrame) -> None:
+        """Nodes (key, cid, n, cid_comp) that are still large and mixed: what is outside a node's main component is compared
+        with all of the node, on the full sets, in blocks of a bounded number of classes and bytes. What is not outside
+        meets the blocks outside only; a pair is compared in the first node that both are in."""
+        if left.isEmpty():
             return
-        self.try_pairs(found)
-        # Nodes that are still large and mixed: what is outside a node's main component is compared with all of the node.
-        left = self.members(left.select("key", "cid", "n"))
-        counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"))
-        main = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp")).alias("x")).select("key", F.col("x.cid_comp").alias("main"))
-        blocks, home = F.ceil(F.col("m") / BLOCK).cast("int"), F.col("home")
-        placed = left.join(main, "key").join(self.classes.select("cid", "sig"), "cid").withColumn("home", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        dealt = placed.select("key", "home", "cid", "n", F.col("cid_comp").alias("comp"), (F.col("cid_comp") != F.col("main")).alias("outside"), "sig", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        dealt = dealt.select("key", F.least(home, "other").alias("i"), F.greatest(home, "other").alias("j"), "home", "cid", "n", "comp", "outside", "sig")
-        pairs = dealt.groupBy("key", "i", "j").applyInArrow(_across(self.percent), "a long, b long, same int").distinct()
-        self.try_alike(materialize(self.untried(pairs), "across"), best_first=True)
+        counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+        nodes = counts.groupBy("key").agg(F.max(F.struct("k", "w", "cid_comp")).alias("x"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+        blocks = lambda k, w: F.ceil(F.greatest(k / F.lit(BLOCK), w * 8 / F.lit(BLOCK_BYTES))).cast("int")
+        nodes = nodes.select("key", F.col("x.cid_comp").alias("main"), blocks(F.col("k") - F.col("x.k"), F.col("w") - F.col("x.w")).alias("p"), blocks(F.col("x.k"), F.col("x.w")).alias("q"))
+        classes = left.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # a class is in 2 * TREES * 2 ** DEPTH nodes at most
+        with session(left.sparkSession, SMALL_BATCHES):
+            sets = self.texts_of(classes.select("cid")).mapInArrow(_shingled(self.width), "cid long, shingles binary")
+            held = materialize(classes.join(self.classes.select("cid", "sig"), "cid").join(sets, "cid"), "crowds")
+        outside, mix = F.col("cid_comp") != F.col("main"), F.xxhash64("cid")
+        placed = left.join(nodes, "key").withColumn("outside", outside).withColumn("home", F.when(F.col("outside"), F.pmod(mix, "p")).otherwise(F.col("p") + F.pmod(mix, "q")).cast("int"))
+        others = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)
+        dealt = placed.select("key", "home", "cid", "n", F.col("cid_comp").alias("comp"), F.explode(others).alias("other")).join(held, "cid")
+        dealt = dealt.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "cid", "n", "comp", "sig", "keys", "shingles")
+        self.link(materialize(dealt.groupBy("key", "i", "j").applyInArrow(_across(self.percent), "a long, b long"), "links"))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
