@@ -3,9 +3,10 @@
 Texts with equal shingle sets form a class; classes are what is compared. Each of several independent trees sends a class
 down from its root: a node's key picks some of the MinHash coordinates (1 / threshold of them in expectation), and the
 class branches to the children named by its minwise tokens there, so that classes that are alike keep meeting. Small nodes
-are compared exhaustively, at every level. In large nodes each class is first compared with the node's centre, links are
-merged, and the node goes on branching only where it still holds several components; it stops while few pairs are lost, and
-the rest is compared exhaustively in blocks. Every link is confirmed on the full shingle sets.
+are compared exhaustively, at every level. In large nodes each class is compared with the node's centre. Classes close to a
+centre are a crowd, which branching would not part: they are compared with the rest of their node, in blocks, on the full
+sets. The others branch on; what is left after the last level is compared in blocks, too. Every link is confirmed on the
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ COORDINATES = 64
 TREES = 12
 SMALL = 24  # classes of a node that is compared exhaustively
 #: Levels of branching below the roots' children; what is left then is compared across components. A pair at the threshold
-#: that stays in crowded nodes down to the last level is apart in all trees with probability 7e-7 (miss()).
-DEPTH = 3
-BLOCK, BLOCK_BYTES = 2048, 16 << 20  # classes, and bytes of their sets, of a block of a node that is compared at the last level
+#: that stays in crowded nodes down to the last level is apart in all trees with probability 7e-8 (miss()).
+DEPTH = 2
+BLOCK, BLOCK_BYTES = 8192, 16 << 20  # classes, and bytes of their sets, of a block of a node that is compared at the last level
+ONE_TASK = 1 << 20  # links (16 MB) that one task merges
 PAIRS = 500  # of a centre that are confirmed by one task
 #: Of 64 coordinates two sets at the threshold share 51 in expectation, and fewer than this with probability 1e-6.
 AGREE = 35
+#: A class that shares so many with a node's centre is part of its crowd. Who shares AGREE with such a class shares at least
+#: CROWD + AGREE - COORDINATES with the centre.
+CROWD = 40
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -187,8 +192,8 @@ def _met(keys: list[np.ndarray], key: int, x: np.ndarray, y: np.ndarray) -> np.n
 
 
 def _across(percent: int):
-    """Of a pair of blocks of a node (key, i, j, home, cid, n, comp, sig, keys, shingles), the first one outside the node's
-    main component: links, confirmed on the full sets, that join two components. They are fewer than the classes."""
+    """Of a pair of blocks of a node (key, i, j, home, cid, n, comp, sig, keys, shingles), the first one of what is out:
+    links, confirmed on the full sets, that join two components. They are fewer than the classes."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         i, j, home, cid, n = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n"))
@@ -231,6 +236,18 @@ def _across(percent: int):
     return run
 
 
+def _near(last: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = batch.column(5).to_numpy(zero_copy_only=False)
+                same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).sum(axis=1)
+                kin = np.full(len(out), True) if last else same >= CROWD + AGREE - COORDINATES
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out if last else out & (same >= CROWD)), pa.array(kin)], ["key", "cid", "n", "sig", "out", "kin"])
+
+    return run
+
+
 def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -255,11 +272,33 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) to the least node that each node reaches, but for those that are the least."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while (up[u] != up[v]).any():
+        low = np.minimum(up[u], up[v])
+        np.minimum.at(up, up[u], low)
+        np.minimum.at(up, up[v], low)
+        while (up[up] != up).any():
+            up = up[up]
+    moved = np.flatnonzero(up != np.arange(len(nodes)))
+    for i in range(0, len(moved), 100_000):
+        part = moved[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[up[part]])], ["cid", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): cid, comp (the smallest cid of its component), for each cid that has a link.
 
-    Alternates large and small stars: every step joins each node's neighbours to its least neighbour, so that paths shrink
-    by a factor. A step is one written table; nothing but its size and checksum comes to the driver.
+    Up to ONE_TASK links are merged by one task. More are merged by alternating large and small stars: every step joins each
+    node's neighbours to its least neighbour, so that paths shrink by a factor. A step is one written table; nothing but its
+    size and checksum comes to the driver.
     """
     def written(df: DataFrame, files: int | None) -> tuple[DataFrame, tuple]:
         seen = Observation()
@@ -268,6 +307,8 @@ def components(links: DataFrame) -> DataFrame:
         return out, (seen.get["n"], seen.get["x"])
 
     edges, state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None)
+    if state[0] <= ONE_TASK:
+        return materialize(edges.coalesce(1).mapInArrow(_merge, "cid long, comp long"), "merged")
     while state[0]:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -386,33 +427,52 @@ class _Join:
         level = materialize(self.classes.select("cid", "n", "sig").mapInArrow(_roots, NODE), "level")
         members = self.members(level)
         self.try_pairs(self.candidates(members), best_first=True)
-        left = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n"))
-        for _ in range(DEPTH):
+        left, found, crowds = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n")), None, None
+        for depth in range(DEPTH + 1):
             if left.isEmpty():
-                return
-            level = materialize(left.select("key", "cid", "n").join(self.classes.select("cid", "sig"), "cid").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
+                break
+            tested = self.against_centres(left, last=depth == DEPTH)
+            crowd = tested.where("kin").join(tested.where("out").select("key").distinct(), "key", "left_semi").select("key", "cid", "n", "out")
+            crowds = crowd if crowds is None else crowds.unionByName(crowd)
+            if depth == DEPTH:
+                break
+            level = materialize(tested.where("NOT out").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
             members = self.members(level)
-            self.try_pairs(self.candidates(members))
-            left = self.members(members.where(F.col("m") > SMALL).select("key", "cid", "n"))
-        self.try_blocks(left)
-
-    def try_blocks(self, left: DataFrame) -> None:
-        """Nodes (key, cid, n, cid_comp) that are still large and mixed: what is outside a node's main component is compared
-        with all of the node, on the full sets, in blocks of a bounded number of classes and bytes. What is not outside
-        meets the blocks outside only; a pair is compared in the first node that both are in."""
+            more = self.candidates(members)
+            found = more if found is None else found.unionByName(more)
+            left = members.where(F.col("m") > SMALL)
+        if found is not None:
+            self.try_pairs(found)
+        if crowds is not None:
+            self.try_blocks(crowds)
+
+    def against_centres(self, left: DataFrame, last: bool) -> DataFrame:
+        """Of large nodes, a written table: key, cid, n, sig, out, kin. A class that is close to its node's centre, a class of the
+        main component, but not of that component, is part of a crowd, where branching parts nothing: it is out, to be compared with all of the
+        node that can agree with it (kin). So is, at the last level, whatever is not of the main component."""
+        counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("c"))
+        nodes = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp", "c")).alias("x")).select("key", F.col("x.c").alias("cid"), F.col("x.cid_comp").alias("main"))
+        sig = self.classes.select("cid", "sig")
+        centres = nodes.join(sig, "cid").select("key", "main", F.col("sig").alias("centre"))
+        both = left.join(centres, "key").join(sig, "cid")
+        return materialize(both.select("key", "cid", "n", "sig", "centre", (F.col("cid_comp") != F.col("main")).alias("out")).mapInArrow(_near(last), "key long, cid long, n long, sig binary, out boolean, kin boolean"), "tested")
+
+    def try_blocks(self, crowds: DataFrame) -> None:
+        """Nodes (key, cid, n, out): what is out is compared with all of the node, on the full sets, in blocks of a bounded
+        number of classes and bytes. What is not out meets the blocks of those that are; a pair is compared in the first node
+        that both are in."""
+        left = materialize(self.labelled(crowds, "cid"), "left")
         if left.isEmpty():
             return
-        counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
-        nodes = counts.groupBy("key").agg(F.max(F.struct("k", "w", "cid_comp")).alias("x"), F.sum("k").alias("k"), F.sum("w").alias("w"))
-        blocks = lambda k, w: F.ceil(F.greatest(k / F.lit(BLOCK), w * 8 / F.lit(BLOCK_BYTES))).cast("int")
-        nodes = nodes.select("key", F.col("x.cid_comp").alias("main"), blocks(F.col("k") - F.col("x.k"), F.col("w") - F.col("x.w")).alias("p"), blocks(F.col("x.k"), F.col("x.w")).alias("q"))
+        blocks = lambda which: F.coalesce(F.ceil(F.greatest(F.count_if(which) / F.lit(BLOCK), F.sum(F.when(which, F.col("n"))) * 8 / F.lit(BLOCK_BYTES))), F.lit(0)).cast("int")
+        nodes = left.groupBy("key").agg(blocks(F.col("out")).alias("p"), blocks(~F.col("out")).alias("q"))
         classes = left.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # a class is in 2 * TREES * 2 ** DEPTH nodes at most
         with session(left.sparkSession, SMALL_BATCHES):
             sets = self.texts_of(classes.select("cid")).mapInArrow(_shingled(self.width), "cid long, shingles binary")
             held = materialize(classes.join(self.classes.select("cid", "sig"), "cid").join(sets, "cid"), "crowds")
-        outside, mix = F.col("cid_comp") != F.col("main"), F.xxhash64("cid")
-        placed = left.join(nodes, "key").withColumn("outside", outside).withColumn("home", F.when(F.col("outside"), F.pmod(mix, "p")).otherwise(F.col("p") + F.pmod(mix, "q")).cast("int"))
-        others = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)
+        mix = F.xxhash64("cid")
+        placed = left.join(nodes, "key").withColumn("home", F.when(F.col("out"), F.pmod(mix, "p")).otherwise(F.col("p") + F.pmod(mix, "q")).cast("int"))
+        others = F.sequence(F.lit(0), F.when(F.col("out"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)
         dealt = placed.select("key", "home", "cid", "n", F.col("cid_comp").alias("comp"), F.explode(others).alias("other")).join(held, "cid")
         dealt = dealt.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "cid", "n", "comp", "sig", "keys", "shingles")
         self.link(materialize(dealt.groupBy("key", "i", "j").applyInArrow(_across(self.percent), "a long, b long"), "links"))

@@ -192,7 +192,9 @@ def test_near_dedup_compares_what_is_left_in_blocks(spark, monkeypatch):
     assert got == brute_groups(dict(rows), 4, 80)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(near_dedup, "ONE_TASK", one_task)
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     got = {r.cid: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
