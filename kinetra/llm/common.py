@@ -100,15 +100,29 @@ def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return table, bits
 
 
-def may_be_in(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
-    """Rows whose key may be among those of bit_filter()."""
+def _hits(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
+    """df with a column _hit: whether a row's key may be among those of bit_filter()."""
     table, bits = filter_
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
     at = F.col("_s") % _PER_ROW
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        df.withColumn("_s", slot)
-        .join(F.broadcast(table), F.floor(F.col("_s") / _PER_ROW) == F.col("_bucket"))
-        .where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        .drop("_s", "_bucket", "_bits")
-    )
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    both = df.withColumn("_s", slot).join(F.broadcast(table), F.floor(F.col("_s") / _PER_ROW) == F.col("_bucket"), "left")
+    return both.withColumn("_hit", F.coalesce(bit, F.lit(False))).drop("_s", "_bucket", "_bits")
+
+
+def may_be_in(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose key may be among those of bit_filter()."""
+    return _hits(df, key, filter_).where("_hit").drop("_hit")
+
+
+def decide(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """docs without the rows that verdicts (_key, once; _one) names: all of a key, or all but the least one where _one.
+
+    Only rows whose key may be among them are shuffled; all others pass where they lie.
+    """
+    names, filter_ = docs.columns, bit_filter(verdicts, "_key")
+    keyed = _hits(docs.withColumn("_key", key), F.col("_key"), filter_)
+    judged = keyed.where("_hit").drop("_hit").join(verdicts, "_key", "left")
+    once = judged.where("_one").groupBy("_key").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    return keyed.where("NOT _hit").select(names).unionByName(judged.where("_one IS NULL").select(names)).unionByName(once)

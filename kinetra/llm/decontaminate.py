@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_md5, words_of
+from .common import decide, materialize, row_key, text_md5, words_of
 
 #: Rows of the prefix table (about 0.5 KB each) up to which it is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -118,5 +118,5 @@ FROM d LEFT JOIN cover c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id =
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with any hit go, each judged by its own text, also where ids repeat or are null."""
     key = row_key(text_md5(F.col("text")), F.col("doc_id"))
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key).where("n_hit > 0").select(F.col("doc_id").alias("_key"))
-    return docs.withColumn("_key", key).join(materialize(hit, "contaminated"), "_key", "left_anti").select(docs.columns)
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key).where("n_hit > 0").select(F.col("doc_id").alias("_key"), F.lit(False).alias("_one"))
+    return decide(docs, key, materialize(hit, "contaminated"))

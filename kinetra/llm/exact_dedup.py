@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bit_filter, materialize, may_be_in, row_key, scratch
+from .common import ascii_lower, bit_filter, decide, materialize, may_be_in, row_key, scratch
 
 
 def sha256_digest(norm: Column) -> Column:
@@ -110,7 +110,8 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: of equal texts, the row with the largest doc_id stays, or one without an id where none has one. If
     rows repeat that id and text, the least of them stays. Rows that repeat an id with different texts are judged each by its own.
     """
-    kept = exact_dedup(docs, keep="max").where("kept").select(row_key(F.col("digest"), F.col("doc_id")).alias("_key")).distinct()
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_key", row_key(sha256_digest(norm), F.col("doc_id"))).join(materialize(kept, "kept"), "_key", "left_semi")
-    return rows.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    key = row_key(F.col("digest"), F.col("doc_id")).alias("_key")
+    rows = exact_dedup(docs, keep="max").groupBy(key).agg(F.bool_or("kept").alias("_one"), F.count(F.lit(1)).alias("n"))
+    verdicts = materialize(rows.where("n > 1 OR NOT _one").select("_key", "_one"), "verdicts")
+    norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return decide(docs, row_key(sha256_digest(norm), F.col("doc_id")), verdicts)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, bit_filter, materialize, may_be_in, row_key, session, text_md5
+from .common import SMALL_BATCHES, bit_filter, decide, materialize, may_be_in, row_key, session, text_md5
 
 COORDINATES = 64
 TREES = 12
@@ -513,8 +513,8 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = materialize(join.rows.where("n > 0").select("doc_id", "tk", "mark").join(comp, "mark").drop("mark"), "judged")
     heads = rows.groupBy("cid_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("head"))
     others = rows.join(heads, "cid_comp").where(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tk") == F.col("head.tk"))))
-    gone = materialize(others.select(row_key(F.col("tk"), F.col("doc_id")).alias("_key")).distinct(), "gone")
-    return docs.withColumn("_key", row_key(text_md5(F.col("text")), F.col("doc_id"))).join(gone, "_key", "left_anti").select(docs.columns)
+    gone = materialize(others.select(row_key(F.col("tk"), F.col("doc_id")).alias("_key"), F.lit(False).alias("_one")).distinct(), "gone")
+    return decide(docs, row_key(text_md5(F.col("text")), F.col("doc_id")), gone)
 
 
 #: Exhaustive: every pair of documents that share a shingle, for small tables.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bit_filter, materialize, may_be_in
 
 FEATURES = ("words", "word_len", "symbols", "upper", "variety", "stops", "line_len", "line_repeat", "word_repeat", "digits", "bars", "short", "exclaim")
 _SYMBOL = np.zeros(256, bool)
@@ -151,7 +151,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted as label 0 go. The model is fitted as in op7; the rows are scored where they lie, so no join is needed."""
     known = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("cast(doc_id as long) AS doc_id", "cast(quality as int) AS label").where("label IN (0, 1)")
-    stats = materialize(features(docs.where(fold(F.col("doc_id")) > 0)), "quality-features")
+    labelled = may_be_in(docs.select("doc_id", "text"), F.col("doc_id").cast("long"), bit_filter(known, "doc_id"))
+    stats = materialize(features(labelled.where(fold(F.col("doc_id")) > 0)), "quality-features")
     model = fit(stats.join(known, "doc_id"))
     at = docs.columns.index("text")
 
