@@ -221,9 +221,14 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 
 
 def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each run, one run after the other."""
-    to = np.cumsum(length, dtype=np.int32)  # Arrow's offsets within an array are of 32 bits, too
-    return np.arange(to[-1] if len(to) else 0, dtype=np.int32) + np.repeat(start.astype(np.int32) - (to - length.astype(np.int32)), length)
+    """The places start, start + 1, ... of each run, one run after the other; of 32 bits, as Arrow's offsets within an array are."""
+    start, length = start[length > 0].astype(np.int32), length[length > 0].astype(np.int32)
+    to = np.cumsum(length)
+    out = np.ones(to[-1] if len(to) else 0, np.int32)
+    if len(to):
+        out[0] = start[0]
+        out[to[:-1]] = start[1:] - (start[:-1] + length[:-1] - 1)
+    return np.cumsum(out, out=out, dtype=np.int32)
 
 
 def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -254,97 +259,138 @@ class Cutter:
             texts = pa.array([self.odd.sub(lambda m: MARK * len(m[0]), t) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.string())
         return pc.split_pattern(texts, " ")
 
-    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Distinct words, the texts as numbers of them, one text after the other, and how many each text has. An empty text has none."""
+    def coarse(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Texts as what stands behind each mark, one text after the other, and how many each text has. An empty text has none."""
         lists = self._at_spaces(texts)
         size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
+        values = lists.flatten()
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         if empty.any():
-            keep = np.ones(len(which), bool)
+            keep = np.ones(len(values), bool)
             keep[(np.cumsum(size) - size)[empty]] = False
-            which, size = which[keep], np.where(empty, 0, size)
-        if not len(which):
-            return pa.array([], pa.string()), np.empty(0, np.int32), size
-        line = MARK + MARK.join(coded.dictionary.to_pylist())
+            values, size = values.filter(pa.array(keep)), np.where(empty, 0, size)
+        return values.dictionary_encode(), size
+
+    def words(self, coded: list[pa.DictionaryArray]) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+        """From coarse() of several arrays: distinct words, the arrays as numbers of them, and how many words each coarse one has become."""
+        one = pa.chunked_array(coded).unify_dictionaries().chunks if len(coded) > 1 else list(coded)
+        coded.clear()
+        dictionary = one[0].dictionary
+        if not len(dictionary):
+            return pa.array([], pa.string()), [np.empty(0, np.int32) for _ in one], [np.empty(0, np.int32) for _ in one]
+        line = MARK + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(dictionary)], pa.int32()), dictionary), MARK)[0].as_py()
+        last = np.cumsum(pc.utf8_length(dictionary).to_numpy() + np.int32(1), dtype=np.int32)
         points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-        last = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64) + 1)
-        kinds, cut = self.kind[points], np.ones(len(points), bool)
-        cut[:-1] = ~self.together[kinds[:-1], kinds[1:]]
+        cut = np.ones(len(points), bool)
+        for low in range(0, len(points) - 1, 1 << 20):
+            kinds = self.kind[points[low : low + (1 << 20) + 1]]
+            cut[low : low + len(kinds) - 1] = ~self.together[kinds[:-1], kinds[1:]]
         cut[last - 1] = True
-        stops = np.flatnonzero(cut) + 1
-        width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-        offsets = np.concatenate([[0], np.cumsum(width, dtype=np.int64)[stops - 1]]).astype(np.int32)
+        stops = np.flatnonzero(cut).astype(np.int32) + np.int32(1)
+        width = np.int8(1) + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        offsets = np.zeros(len(stops) + 1, np.int32)
+        offsets[1:] = np.cumsum(width, dtype=np.int32)[stops - 1]
+        del points, width, cut
         atoms = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), pa.py_buffer(line.encode())).dictionary_encode()
-        upto = np.searchsorted(stops, last) + 1
-        length = np.diff(upto, prepend=0)
-        numbers = atoms.indices.to_numpy()[_runs((upto - length)[which], length[which])]
-        ends = np.concatenate([[0], np.cumsum(length[which])])[np.cumsum(size)]
-        return atoms.dictionary, numbers, np.diff(ends, prepend=0)
+        upto = (np.searchsorted(stops, last) + 1).astype(np.int32)
+        length = np.diff(upto, prepend=np.int32(0))
+        begin, flat, numbers, sizes = upto - length, atoms.indices.to_numpy(), [], []
+        for x in one:
+            which = x.indices.to_numpy()
+            sizes.append(length[which])
+            numbers.append(flat[_runs(begin[which], sizes[-1])])
+        return atoms.dictionary, numbers, sizes
 
 
 def words_of(text: str, table: Pieces) -> list[str]:
     """The words of a text with its spaces as marks and one mark before it; none for an empty text."""
-    words, numbers, _ = Cutter(table)(pa.array([text], pa.string()))
-    return words.take(pa.array(numbers)).to_pylist()
+    cutter = Cutter(table)
+    words, numbers, _ = cutter.words([cutter.coarse(pa.array([text], pa.string()))[0]])
+    return words.take(pa.array(numbers[0])).to_pylist()
 
 
 CHUNK = "rows array<long>, sizes array<int>, sums binary, words array<string>, z binary"
 
 
-def _chunk(cutter: Cutter, rows: pa.Array, texts: pa.Array, check: bool) -> pa.RecordBatch:
-    """Documents as numbers of their distinct words, the most frequent ones first."""
-    words, numbers, sizes = cutter(texts)
-    order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int32)
-    rank[order] = np.arange(len(words))
-    sums = b"".join(xxhash.xxh3_128_digest(t.as_buffer()) for t in texts) if check else b""
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    return pa.RecordBatch.from_arrays(
-        [one(rows), one(pa.array(sizes, pa.int32())), pa.array([sums], pa.binary()), one(words.take(pa.array(order))), pa.array([_pack(rank[numbers])], pa.binary())],
-        ["rows", "sizes", "sums", "words", "z"],
-    )
+class _Chunk:
+    """Documents as numbers of their distinct words, the most frequent ones first. Texts are not held, but what they were cut into."""
 
+    def __init__(self, cutter: Cutter, check: bool):
+        self.cutter, self.check, self.bytes = cutter, check, 0
+        self.rows, self.coded, self.sizes, self.sums = [], [], [], []
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers as their low bytes, then the next ones, then the rest, compressed: the high ones are mostly 0."""
-    planes = (numbers.astype(np.uint8), (numbers >> 8).astype(np.uint8), (numbers >> 16).astype(np.uint16))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in planes))
+    def add(self, rows: pa.Array, texts: pa.Array, size: int) -> None:
+        coded, sizes = self.cutter.coarse(texts)
+        self.rows.append(rows)
+        self.coded.append(coded)
+        self.sizes.append(sizes)
+        self.sums += [xxhash.xxh3_128_digest(t.as_buffer()) for t in texts] if self.check else []
+        self.bytes += size
+
+    def batch(self) -> pa.RecordBatch:
+        words, numbers, each = self.cutter.words(self.coded)
+        # From words of coarse words to words of documents.
+        sizes = [np.diff(np.concatenate([np.zeros(1, np.int32), np.cumsum(e, dtype=np.int32)])[np.cumsum(n)], prepend=np.int32(0)) for e, n in zip(each, self.sizes)]
+        del each
+        counts = sum((np.bincount(x, minlength=len(words)) for x in numbers), np.zeros(len(words), np.int64))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays(
+            [one(pa.concat_arrays(self.rows)), one(pa.array(np.concatenate(sizes))), pa.array([b"".join(self.sums)], pa.binary()), one(words.take(pa.array(order))), pa.array([_pack(rank[x] for x in numbers)], pa.binary())],
+            ["rows", "sizes", "sums", "words", "z"],
+        )
+
+
+PLANES = ((0, np.uint8), (8, np.uint8), (16, np.uint16))
+
+
+def _pack(parts: Iterable[np.ndarray]) -> bytes:
+    """Numbers as their low bytes, the next ones, and the rest, each compressed behind its length: the high ones are mostly 0."""
+    packs, out = [zstandard.ZstdCompressor(level=3).compressobj() for _ in PLANES], [[] for _ in PLANES]
+    for x in parts:
+        for pack, got, (shift, kind) in zip(packs, out, PLANES):
+            got.append(pack.compress((x >> shift).astype(kind)))
+    planes = [b"".join([*got, pack.flush()]) for got, pack in zip(out, packs)]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in planes)
 
 
 def _unpack(z: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(z)
-    n = len(raw) // 4
-    low, mid, high = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n), np.frombuffer(raw[2 * n :], np.uint16)
-    return low + (mid.astype(np.int32) << 8) + (high.astype(np.int32) << 16)
+    out, at = None, 0
+    for shift, kind in PLANES:
+        size = int.from_bytes(z[at : at + 8], "little")
+        plane = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(z[at + 8 : at + 8 + size]), kind).astype(np.int32) << shift
+        out, at = plane if out is None else out + plane, at + 8 + size
+    return out
+
+
+SLICE_BYTES = 2 << 20  # of text that are cut at once
 
 
 def _chunks(table: Pieces, check: bool, chunk_bytes: int):
-    """Documents (row, text) as chunks. A task holds the texts of one chunk."""
+    """Documents (row, text) as chunks. A task holds one chunk, and the texts of a slice."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(table)
-        held, size = [], 0
+        chunk = _Chunk(cutter, check)
         for batch in batches:
-            at, upto = 0, size + np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            at, upto = 0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
             while at < batch.num_rows:
-                stop = min(int(np.searchsorted(upto, chunk_bytes)) + 1, batch.num_rows)
-                held.append(batch.slice(at, stop - at))
-                size = int(upto[stop - 1])
-                if size >= chunk_bytes:
-                    yield _chunk(cutter, *_joined(held), check)
-                    held, upto, size = [], upto - size, 0
+                done = int(upto[at - 1]) if at else 0
+                stop = min(int(np.searchsorted(upto, done + min(SLICE_BYTES, chunk_bytes - chunk.bytes))) + 1, batch.num_rows)
+                chunk.add(batch.column(0)[at:stop], batch.column(1)[at:stop], int(upto[stop - 1]) - done)
                 at = stop
-        if held:
-            yield _chunk(cutter, *_joined(held), check)
+                if chunk.bytes >= chunk_bytes:
+                    yield chunk.batch()
+                    chunk = _Chunk(cutter, check)
+                    pa.default_memory_pool().release_unused()
+        if chunk.rows:
+            yield chunk.batch()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
-    return tuple(pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))
-
-
 PART = 1 << 19  # words of documents that are put together at once
 
 
@@ -389,6 +435,7 @@ def _assemble(table: Pieces, shared: pa.Table, check: bool):
             exact = pa.nulls(stop - at, pa.bool_()) if not check else pa.array(_same(decoded, which, bounds, sums[16 * at : 16 * stop]), pa.bool_())
             out.append(pa.RecordBatch.from_arrays([rows[at:stop], lists, exact], ["doc_id", "ids", "exact"]))
             at = stop
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     return run
