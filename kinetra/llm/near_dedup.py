@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, bit_filter, decide, materialize, may_be_in, row_key, session, text_md5
+from .common import SMALL_BATCHES, bit_filter, decide, materialize, may_be_in, release, row_key, session, text_md5
 
 COORDINATES = 64
 TREES = 12
@@ -92,6 +92,8 @@ def _sketch(width: int):
                 mark.append(np.array([s.sum(dtype=np.uint64), _mix(s + _C[7]).sum(dtype=np.uint64)]).tobytes())
                 sig.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "tk", "n", "mark", "sig"])
+        del shingler
+        release()
 
     return run
 
@@ -152,6 +154,8 @@ def _shingled(width: int):
         shingler = Shingler(width)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["cid", "shingles"])
+        del shingler
+        release()
 
     return run
 
@@ -175,20 +179,27 @@ class _Sets:
             self.up = up
 
 
-def _met(keys: list[np.ndarray], key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of x and y share a node with a key below this one, where they are compared already."""
-    owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
-    owner, flat = owner[flat < key], flat[flat < key]
-    some, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.cumsum(times > 1) - 1  # of the keys that two have
-    owner, at = owner[times[at] > 1], order[at[times[at] > 1]]
-    out = np.zeros((len(x), len(y)), bool)
-    for low in range(0, int((times > 1).sum()), 4096):
-        member = np.zeros((len(keys), 4096), np.float32)
-        here = (at >= low) & (at < low + 4096)
-        member[owner[here], at[here] - low] = 1
-        out |= member[x] @ member[y].T > 0
-    return out
+class _Met:
+    """Which classes of a task share a node with a key below this one, where they are compared already."""
+
+    width = 256
+
+    def __init__(self, keys: list[np.ndarray], key: int):
+        self.rows = len(keys)
+        owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+        owner, flat = owner[flat < key], flat[flat < key]
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[at] > 1
+        self.owner, self.at, self.count = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]], int((times > 1).sum())
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), bool)
+        for low in range(0, self.count, self.width):
+            member = np.zeros((self.rows, self.width), np.float32)
+            here = (self.at >= low) & (self.at < low + self.width)
+            member[self.owner[here], self.at[here] - low] = 1
+            out |= member[x] @ member[y].T > 0
+        return out
 
 
 def _across(percent: int):
@@ -199,7 +210,7 @@ def _across(percent: int):
         i, j, home, cid, n = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n"))
         comp, sig = np.unique(t["comp"].to_numpy(), return_inverse=True)[1], _matrix(t["sig"])
         shingles = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-        keys = [np.array(x, np.int64) for x in t["keys"].to_pylist()]
+        met = _Met([np.array(x, np.int64) for x in t["keys"].to_pylist()], t["key"][0].as_py())
         left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
         sets, links = _Sets(int(comp.max()) + 1), []
         columns = np.ascontiguousarray(sig[right].T)
@@ -209,7 +220,7 @@ def _across(percent: int):
             for c in range(COORDINATES):
                 agree += sig[some, c][:, None] == columns[c]
             fits = np.minimum.outer(n[some], n[right]) * 100 >= np.maximum.outer(n[some], n[right]) * percent
-            ok = (agree >= AGREE) & fits & (comp[some][:, None] != comp[right]) & ~_met(keys, t["key"][0].as_py(), some, right)
+            ok = (agree >= AGREE) & fits & (comp[some][:, None] != comp[right]) & ~met(some, right)
             if i[0] == j[0]:
                 ok &= some[:, None] < right
             for row in np.flatnonzero(ok.any(axis=1)):
@@ -231,6 +242,8 @@ def _across(percent: int):
                             sets.up[max(a, b)] = min(a, b)
                             links.append((min(cid[x], cid[v]), max(cid[x], cid[v])))
         a, b = zip(*links) if links else ((), ())
+        del shingles, sig, columns, t
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -268,6 +281,8 @@ def _confirm(width: int, percent: int):
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+        del shingler
+        release()
 
     return run
 

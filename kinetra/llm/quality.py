@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, may_be_in
+from .common import bit_filter, materialize, may_be_in, release
 
 FEATURES = ("words", "word_len", "symbols", "upper", "variety", "stops", "line_len", "line_repeat", "word_repeat", "digits", "bars", "short", "exclaim")
 _SYMBOL = np.zeros(256, bool)
@@ -54,6 +54,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = np.array([statistics(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["doc_id", *FEATURES])
+    release()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -160,5 +161,6 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= 0.3))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

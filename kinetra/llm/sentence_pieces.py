@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_BATCHES, bucketed, materialize, session
+from .common import SMALL_BATCHES, bucketed, materialize, release, session
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -194,6 +194,7 @@ def _resolve(table: Pieces):
                     cuts = [i for i in range(len(word) + 1) if cuts >> i & 1]
                 out.append(np.array([x for a, b in zip(cuts, cuts[1:]) for x in ids(word[a:b])], kind).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["word", "n", "packed"])
+        release()
 
     return run
 
@@ -383,10 +384,10 @@ def _chunks(table: Pieces, check: bool, chunk_bytes: int):
                 if chunk.bytes >= chunk_bytes:
                     yield chunk.batch()
                     chunk = _Chunk(cutter, check)
-                    pa.default_memory_pool().release_unused()
+                    release()
         if chunk.rows:
             yield chunk.batch()
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
 
@@ -435,7 +436,7 @@ def _assemble(table: Pieces, shared: pa.Table, check: bool):
             exact = pa.nulls(stop - at, pa.bool_()) if not check else pa.array(_same(decoded, which, bounds, sums[16 * at : 16 * stop]), pa.bool_())
             out.append(pa.RecordBatch.from_arrays([rows[at:stop], lists, exact], ["doc_id", "ids", "exact"]))
             at = stop
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.Table.from_batches(out)
 
     return run
@@ -516,5 +517,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id and ids of every document left."""
-    return encode(docs, load()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
+    """Last pipeline stage: doc_id and ids of every document left. Chunks are of half the size, as executors still hold what earlier stages left."""
+    return encode(docs, load(), chunk_bytes=CHUNK_BYTES // 2).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
