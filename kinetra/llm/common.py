@@ -41,7 +41,7 @@ def session(spark: SparkSession, settings: dict[str, object]) -> Iterator[None]:
 
 
 #: Rows of an Arrow batch of texts (Spark's own default is 10,000): a batch is held by the executor and by its Python worker, and texts may be long.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:

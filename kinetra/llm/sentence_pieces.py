@@ -517,5 +517,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id and ids of every document left. Chunks are of half the size, as executors still hold what earlier stages left."""
-    return encode(docs, load(), chunk_bytes=CHUNK_BYTES // 2).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
+    """Last pipeline stage: doc_id and ids of every document left. Chunks are of a quarter of the size, as executors still hold what earlier stages left."""
+    return encode(docs, load(), chunk_bytes=CHUNK_BYTES // 4).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
