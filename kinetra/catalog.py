@@ -10,6 +10,7 @@ from .config import DTWConfig, GraphConfig
 from .operators import clean, curriculum, dtw, graph, metrics, text, training
 from .operators import kinematics as kin
 from .operators import pairs as P
+from .sources import store
 from .sources import tables as T
 
 QUERIES: dict = {}
@@ -402,12 +403,98 @@ def t2(spark, d):
     return rounded(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", "df", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-@query("t3_goal_scores")
+def _terms_sql(docs: str) -> str:
+    """The terms of a table (idx, doc): n-grams of words with a space on either side, words, and pairs of words."""
+    return f"""SELECT idx, 'char' AS kind, substring(p, i, n) AS term FROM (SELECT idx, ' ' || unnest(list_filter(string_split(doc, ' '), lambda w: w <> '')) || ' ' AS p FROM {docs}), (VALUES (3), (4), (5)) v(n), generate_series(1, 100) g(i)
+  WHERE i + n - 1 <= len(p)
+  UNION ALL SELECT idx, 'word', w FROM (SELECT idx, unnest(string_split(doc, ' ')) AS w FROM {docs}) WHERE len(w) >= 2
+  UNION ALL SELECT idx, 'word', l[i] || ' ' || l[i + 1] FROM (SELECT idx, list_filter(string_split(doc, ' '), lambda w: len(w) >= 2) AS l FROM {docs}), generate_series(1, 100) g(i) WHERE i < len(l)"""
+
+
+def _scores_sql(goal: str) -> str:
+    return f"""WITH {_DOCS}, goal AS (SELECT 0 AS idx, '{goal}' AS doc),
+counts AS (SELECT idx, kind, term, count(*) AS tf FROM ({_terms_sql("d")}) GROUP BY ALL), n AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT kind, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM counts, n GROUP BY kind, term, n),
+raw AS (SELECT c.idx, c.kind, c.term, (1 + ln(tf)) * idf AS w FROM counts c JOIN idf ON c.kind = idf.kind AND c.term = idf.term),
+norm AS (SELECT idx, kind, sqrt(sum(w * w)) AS length FROM raw GROUP BY ALL),
+gc AS (SELECT kind, term, count(*) AS tf FROM ({_terms_sql("goal")}) GROUP BY ALL),
+gw AS (SELECT gc.kind, gc.term, (1 + ln(tf)) * idf AS w FROM gc JOIN idf ON gc.kind = idf.kind AND gc.term = idf.term),
+q AS (SELECT kind, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind)) AS q FROM gw),
+hit AS (SELECT raw.idx, sum(w / length * q) AS score FROM raw JOIN norm ON raw.idx = norm.idx AND raw.kind = norm.kind JOIN q ON raw.kind = q.kind AND raw.term = q.term GROUP BY raw.idx),
+scored AS (SELECT d.idx, coalesce(score, 0) AS score FROM d LEFT JOIN hit ON d.idx = hit.idx)"""
+
+
+def _match_sql(goal: str) -> str:
+    return _scores_sql(goal) + """,
+clips AS (SELECT CAST(doc_id AS INT) AS idx, lang AS task, n_chars / 40000.0 AS difficulty FROM documents),
+tasks AS (SELECT task, max(score) AS score FROM scored JOIN clips ON scored.idx = clips.idx GROUP BY task),
+ranked AS (SELECT task, score, row_number() OVER w AS place, CASE WHEN score > 0 THEN (score - coalesce(lead(score) OVER w, 0)) / score ELSE 0 END AS margin FROM tasks WINDOW w AS (ORDER BY round(score, 9) DESC, task)),
+known AS (SELECT r.task, score, place, margin, c.idx, score >= 0.35 AND margin >= 0.2 AS confident FROM ranked r
+  JOIN (SELECT task, arg_min(idx, (-difficulty, idx)) AS idx FROM clips GROUP BY task) c ON r.task = c.task WHERE place <= 5 AND score > 0),
+none AS (SELECT task, 0.0::DOUBLE AS score, 1 AS place, 0.0::DOUBLE AS margin, idx, false AS confident FROM clips ORDER BY difficulty DESC, idx LIMIT 1)
+SELECT task, round(score, 6) AS score, CAST(place AS INT) AS place, round(margin, 6) AS margin, idx, confident, CASE WHEN NOT confident THEN 'weak or ambiguous match' END AS note FROM known
+UNION ALL SELECT *, 'nothing matches: the hardest clip is the target' FROM none WHERE NOT EXISTS (FROM known)"""
+
+
+def doc_clips(spark, d):
+    return T.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("idx"), F.col("lang").alias("task"), (F.col("n_chars") / 40000.0).alias("difficulty"))
+
+
+@query("t3_goal_scores", _scores_sql("german text from src7") + " SELECT idx, round(score, 6) AS score FROM scored")
 def t3(spark, d):
     return rounded(text.scores(t1(spark, d), "german text from src7"))
 
 
-@query("t4_goal_match")
+@query("t4_goal_match", _match_sql("fr src3"))
 def t4(spark, d):
-    clips = T.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("idx"), F.col("lang").alias("task"), (F.col("n_chars") / 40000.0).alias("difficulty"))
-    return rounded(text.match(t1(spark, d), clips, "fr src3"))
+    return rounded(text.match(t1(spark, d), doc_clips(spark, d), "fr src3"))
+
+
+@query("t4_goal_without_match", _match_sql("qqq 777"))
+def t4_none(spark, d):
+    return rounded(text.match(t1(spark, d), doc_clips(spark, d), "qqq 777"))
+
+
+@query("t5_representative", "SELECT lang AS task, arg_min(CAST(doc_id AS INT), (n_chars, doc_id)) AS idx FROM documents GROUP BY lang")
+def t5(spark, d):
+    return text.representative(doc_clips(spark, d), "easiest")
+
+
+# ---- orders, selections, ways -----------------------------------------------------------------------------------------
+
+
+@query("x10_farthest_first", "WITH RECURSIVE " + _P.removeprefix("WITH ") + """, first AS (SELECT i AS idx FROM sym GROUP BY i ORDER BY round(sum(d), 6), i LIMIT 1),
+near AS (SELECT n.idx, coalesce(s.d, 0) AS gap, f.idx AS taken FROM nodes n, first f LEFT JOIN sym s ON s.i = n.idx AND s.j = f.idx),
+walk AS (SELECT 1 AS rank, idx, gap, first_value(idx) OVER (ORDER BY gap DESC, idx) AS nxt FROM near
+  UNION ALL SELECT w.rank + 1, w.idx, least(w.gap, coalesce(s.d, 0)), first_value(w.idx) OVER (ORDER BY least(w.gap, coalesce(s.d, 0)) DESC, w.idx) FROM walk w LEFT JOIN sym s ON s.i = w.idx AND s.j = w.nxt WHERE w.rank < 8)
+SELECT idx, 1 AS coreset_rank FROM first UNION ALL SELECT DISTINCT nxt, CAST(rank + 1 AS INT) FROM walk WHERE rank < 8""")
+def x10(spark, d):
+    write = store.writer(spark)
+    return curriculum.coreset_prefix(write(pairs_of(spark, d)), 8, write)
+
+
+@query("k4_redundant_selection", _P + " SELECT idx FROM (SELECT i AS idx, min(d) AS nn FROM sym GROUP BY i) ORDER BY nn, idx LIMIT 25")
+def k4(spark, d):
+    return curriculum.select("redundant", 25, pairs_of(spark, d), nodes_of(spark, d).select("idx", "cluster"), 10**9)
+
+
+@query("k10_stratified_selection", _P + _W + " SELECT idx FROM (SELECT idx, cluster, row_number() OVER (PARTITION BY cluster ORDER BY round(total, 9), idx) AS turn FROM within) ORDER BY turn, cluster LIMIT 25")
+def k10_selection(spark, d):
+    return curriculum.select("stratified", 25, pairs_of(spark, d), nodes_of(spark, d).select("idx", "cluster"), 10**9)
+
+
+@query("k5_sequential_selection", "SELECT CAST(vec_id AS INT) AS idx FROM embeddings WHERE vec_id < 25")
+def k5(spark, d):
+    return curriculum.select("sequential", 25, pairs_of(spark, d), nodes_of(spark, d).select("idx", "cluster"), 10**9)
+
+
+@query("p1_shortest_costs", "WITH RECURSIVE " + (_EDGES + _POOL).removeprefix("WITH ") + """, steps AS (SELECT src, dst, ramp + inter + red + 0.1 AS weight FROM e),
+r(idx, cost) USING KEY (idx) AS (SELECT idx, 0.0::DOUBLE AS cost FROM pool
+  UNION SELECT s.dst, min(round(r.cost + s.weight, 9)) FROM r JOIN steps s ON s.src = r.idx LEFT JOIN recurring.r AS q ON q.idx = s.dst WHERE q.idx IS NULL OR round(r.cost + s.weight, 9) < q.cost GROUP BY s.dst)
+SELECT idx, round(cost, 6) AS cost FROM r""")
+def p1(spark, d):
+    write, n = store.writer(spark), nodes_of(spark, d)
+    edges = write(graph.candidate_edges(write(graph.normalized(pairs_of(spark, d))), n, GraphConfig()))
+    heads = graph.start_pool(n).select(F.lit(graph.START).alias("src"), F.col("idx").alias("dst"), F.lit(0.0).alias("weight"))
+    found = graph.shortest(edges.select("src", "dst", "weight").unionByName(heads), write)
+    return rounded(found.where(F.col("idx") != graph.START))

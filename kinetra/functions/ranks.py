@@ -23,7 +23,7 @@ def running_sum(df: DataFrame, order: str, value: str, alias: str, buckets: int
 
 
 def average_rank(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """df with alias: the average rank of column from 1, and alias_n: the number of rows."""
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    """df with alias: the average rank of column from 1, and alias_n: the number of rows. Rows whose column is null stay, without a rank, and are not counted."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_sum(counts, "_v", "_c", "_up").select("_v", (F.col("_up") - (F.col("_c") - 1) / 2.0).alias(alias), F.col("_up_total").alias(f"{alias}_n"))
-    return df.join(ranked, F.col(column) == F.col("_v")).drop("_v")
+    return df.join(ranked, F.col(column) == F.col("_v"), "left").drop("_v")

@@ -78,9 +78,7 @@ def representative(clips: DataFrame, how: str = "hardest", totals: DataFrame | N
 
 
 def match(docs: DataFrame, clips: DataFrame, goal: str, how: str = "hardest", k: int = 5, totals: DataFrame | None = None) -> DataFrame:
-    """The candidates for a goal: place, task, score, margin, idx (target clip), confident, note. With no common term at all the hardest clip of all is the one candidate."""
-    if not goal.strip():
-        raise ValueError("a goal needs some text")
+    """The candidates for a goal: place, task, score, margin, idx (target clip), confident, note. With no common term at all, as for an empty goal, the hardest clip of all is the one candidate."""
     ranked = rank_tasks(scores(docs, goal).join(clips, "idx").select("idx", "task", "score"), k).join(representative(clips, how, totals), "task")
     ranked = ranked.withColumn("confident", (F.col("score") >= MIN_SCORE) & (F.col("margin") >= MIN_MARGIN))
     none = clips.orderBy(F.desc(F.coalesce("difficulty", F.lit(1.0))), "idx").limit(1).select("task", F.lit(0.0).alias("score"), F.lit(1).alias("place"), F.lit(0.0).alias("margin"), "idx", F.lit(False).alias("confident"))

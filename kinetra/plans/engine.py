@@ -190,7 +190,7 @@ class PathFinder:
 
 
 class Service:
-    """The calls of the reference's web service as methods; every answer is plain data that strict JSON takes."""
+    """The web service's calls as methods; every answer is plain data that strict JSON takes."""
 
     def __init__(self, spark: SparkSession, poses: DataFrame):
         self.engine, self.poses = Engine(spark), poses

@@ -1,4 +1,4 @@
-"""Episode frames as a stream: event-time windows with a bound on lateness. The reference has no streams; this is the same features' online side."""
+"""Episode frames as a stream: event-time windows with a bound on lateness. The online side of the same features."""
 
 from __future__ import annotations
 
