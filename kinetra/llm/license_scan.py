@@ -16,16 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Wording of public license notices, shortened to the sentences that identify them.
+#: Wording of public license notices, shortened to the sentences that identify them; the full texts of licenses are not here.
 TEMPLATES = {
-    "apache-2.0": 'licensed under the apache license <<beginOptional>>version 2 0<<endOptional>>',
+    "apache": 'licensed under the apache license',
+    "apache-2.0": 'licensed under the apache license version 2 0',
     "mit": 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction',
     "mit-notice": '<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license',
     "bsd": 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met',
     "isc": 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted',
     "mpl-2.0": 'this source code form is subject to the terms of the mozilla public license v <<beginOptional>>ersion<<endOptional>> 2 0',
     "gpl-notice": 'under the terms of the gnu <<beginOptional>>lesser<<endOptional>> general public license as published by <<var;match="1,6">>',
-    "cc-by-4.0": 'licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>nc<<endOptional>> <<beginOptional>>sa<<endOptional>> 4 0',
+    "cc-by-4.0": 'licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by 4 0',
+    "cc-by-nc-4.0": 'licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc 4 0',
+    "cc-by-sa-4.0": 'licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by sa 4 0',
+    "cc-by-nc-sa-4.0": 'licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc sa 4 0',
     "copyright": 'copyright <<beginOptional>>c<<endOptional>> <<var;match="1,8">> all rights reserved',
     "public-domain": 'released into the public domain',
     "cc0": 'cc0 1 0 universal',
@@ -117,9 +121,9 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         base = []
         for phrase, n, label in self.base:
-            at = line.find(phrase)
+            start, seen, at = 0, 0, line.find(phrase)
             while at >= 0:
-                start = line.count(b" ", 0, at)
+                start, seen = start + line.count(b" ", seen, at), at
                 base.append((start, start + n, label))
                 at = line.find(phrase, at + 1)
         found, have = [], None
@@ -150,8 +154,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
     """For each row of docs (doc_id, text): its number of words, the places of base phrases (all of them, also overlapping)
     and of templates (leftmost, longest, not overlapping themselves), in words from 0, end exclusive.
 
-    score is the share of places that a template accepts in full among all evidence: 0 without any, 0.5 with base phrases
-    only, 1 once a template's whole mandatory wording is there. Null and empty texts have no words and no places. Rows are
+    score is 0 without evidence, 0.5 with base phrases only, and 1 once a template's whole mandatory wording is there. Null and empty texts have no words and no places. Rows are
     judged one by one: repeated rows repeat their results; other columns are ignored. Memory: one text at a time.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
