@@ -36,15 +36,15 @@ def _prefixes(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS, key: Column | None = None) -> DataFrame:
-    """A row for each distinct doc_id of docs (doc_id, text): doc_id, n_words, n_hit (words inside any occurrence of a window
+    """A row for each row of docs (doc_id, text): doc_id, n_words, n_hit (words inside any occurrence of a window
     of benchmark), items (the item_ids with occurring windows, as sorted strings).
 
     Items of fewer words than width are one window; items and documents without words (also null ones) hit nothing.
-    Repeated items count once by item_id; rows that repeat a doc_id are laid over each other: n_words is the longest one's,
-    n_hit counts the places hit in any of them. A null doc_id is a group of its own; items without an id are left out.
-    Other columns are ignored. Another key may stand for doc_id.
+    Repeated items count once by item_id; items without an id are left out. Rows that repeat a doc_id, or have none, are
+    judged each by its own text. Other columns are ignored. A key of texts may stand for doc_id: then rows of one key are one.
     """
-    src = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), words_of(F.col("text")).alias("w"))
+    row = F.monotonically_increasing_id() if key is None else F.lit(0)  # of a place in a split: the same whenever a task runs again
+    src = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), row.alias("row"), words_of(F.col("text")).alias("w"))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct()
     items = materialize(items, "items")
     vocabulary = items.select(F.explode("item_words").alias("word")).distinct()
@@ -59,7 +59,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
     mark = docs.sparkSession.range(1).select(F.lit("").alias("word"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in prefixes.schema if f.name != "word"))
     keys = near(prefixes.unionByName(mark))
     q, at, first, last, n, base = (F.col(c) for c in ("q", "at", "first", "last", "len", "base"))
-    words = src.select("doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("q", "word"))
+    words = src.select("doc_id", "row", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("q", "word"))
     left = F.greatest(q - (width - 1), F.lit(0))
     context = [F.size("w").alias("size"), left.alias("left"), F.slice("w", left + 1, F.lit(2 * width - 1)).alias("c")]
     # Positional bounds: the starts whose windows lie within the document.
@@ -75,17 +75,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
         return marked | (inside & ((n == 1) | ((first < at) & agrees(-1)) | ((last == at) & agrees(1))))
 
     if small:  # within one generated loop over a document's words: what leaves it is a candidate with the words around it
-        places = words.join(keys, "word").where(fits(F.col("w"), F.lit(0), F.size("w"))).select("doc_id", "q", *prefixes.drop("word").columns, *context)
+        places = words.join(keys, "word").where(fits(F.col("w"), F.lit(0), F.size("w"))).select("doc_id", "row", "q", *prefixes.drop("word").columns, *context)
     else:  # the words around a place travel with it
-        places = words.select("doc_id", "q", "word", *context).join(keys, "word").where(fits(F.col("c"), F.col("left"), F.col("size"))).drop("word")
+        places = words.select("doc_id", "row", "q", "word", *context).join(keys, "word").where(fits(F.col("c"), F.col("left"), F.col("size"))).drop("word")
     # A row for each window to compare; as a generator, not a lambda, it stays within the generated code.
     tried = places.select("*", F.explode(F.when(marked, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))).alias("s"))
     s = F.col("s")
     same = F.slice("c", (q - at + s - F.col("left") + 1).cast("int"), n) == F.slice("around", (s - base + 1).cast("int"), n)
     begin = (q - at + s).cast("int")
-    per = tried.where(marked | same).select("doc_id", "item_id", F.when(marked, q).alias("n_words"), F.when(~marked, F.struct(begin.alias("a"), (begin + n).alias("b"))).alias("span"))
+    per = tried.where(marked | same).select("doc_id", "row", "item_id", F.when(marked, q).alias("n_words"), F.when(~marked, F.struct(begin.alias("a"), (begin + n).alias("b"))).alias("span"))
     # Aggregated before the shuffle; what is gathered for a document is bounded by its length and the items it holds.
-    grouped = per.groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    grouped = per.groupBy("doc_id", "row").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     # Spans in order of their starts: each adds what lies beyond those before it.
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("int").alias("to"))
     hit = F.aggregate(

@@ -379,15 +379,21 @@ def test_decontamination_brute_force(spark, docs, texts, rows):
 
 
 def test_licenses(spark, docs, texts):
-    odd = {-1: "CC BY cc by; General Public License. All rights reserved", -2: "Copyright (c) 2024 Some Person. All Rights Reserved.", -3: "Licensed under the Apache License, Version 2.0.", -4: "the mit license", -5: "released under the terms of the MIT License"}
+    odd = {-1: "CC BY cc by; General Public License. All rights reserved", -2: "Copyright (c) 2024 Some Person. All Rights Reserved.", -3: "Licensed under the Apache License, Version 2.0.", -4: "the mit license", -5: "released under the terms of the MIT License", -6: "Licensed under the Apache License, Version 1.1", -7: "Licensed under CC BY-NC 4.0"}
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
     out = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
     for i, t in {**texts, **odd}.items():
         w = words(t)
         want = sorted((k, k + len(p.split()), label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         assert out[i].n_words == len(w) and [tuple(x) for x in out[i].base] == want
-    assert [m.label for m in out[-2].matches] == ["copyright"] and [m.label for m in out[-3].matches] == ["apache-2.0"]
+    assert [m.label for m in out[-2].matches] == ["copyright"] and [m.label for m in out[-3].matches] == ["apache", "apache-2.0"]
     assert not out[-4].matches and [m.label for m in out[-5].matches] == ["mit-notice"] and out[-4].score == 0 and out[-5].score == 1
+    assert [m.label for m in out[-6].matches] == ["apache"] and [m.label for m in out[-7].matches] == ["cc-by-nc-4.0"]
+
+
+def test_many_places_take_one_pass():
+    n, base, _ = license_scan.Scanner().scan("x cc by " * 50_000)
+    assert n == 150_000 and [b[0] for b in base] == list(range(1, 150_000, 3))
 
 
 def test_automaton():
