@@ -112,7 +112,7 @@ def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return table, bits
 
 
-def _hits(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
+def has_hit(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
     """df with a column _hit: whether a row's key may be among those of bit_filter()."""
     table, bits = filter_
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
@@ -125,7 +125,7 @@ def _hits(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFra
 
 def may_be_in(df: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose key may be among those of bit_filter()."""
-    return _hits(df, key, filter_).where("_hit").drop("_hit")
+    return has_hit(df, key, filter_).where("_hit").drop("_hit")
 
 
 def decide(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def decide(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     Only rows whose key may be among them are shuffled; all others pass where they lie.
     """
     names, filter_ = docs.columns, bit_filter(verdicts, "_key")
-    keyed = _hits(docs.withColumn("_key", key), F.col("_key"), filter_)
+    keyed = has_hit(docs.withColumn("_key", key), F.col("_key"), filter_)
     judged = keyed.where("_hit").drop("_hit").join(verdicts, "_key", "left")
     once = judged.where("_one").groupBy("_key").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
     return keyed.where("NOT _hit").select(names).unionByName(judged.where("_one IS NULL").select(names)).unionByName(once)

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bit_filter, decide, materialize, may_be_in, row_key, scratch
+from .common import ascii_lower, bit_filter, decide, has_hit, materialize, may_be_in, row_key, scratch
+
+
+#: A digest with at least this fraction (1 / HEAVY) of all rows is heavy; there are HEAVY of them at most.
+HEAVY = 1000
 
 
 def sha256_digest(norm: Column) -> Column:
@@ -65,32 +69,36 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest=sha256_digest) -> Dat
     group's keep_id, but are never the ones kept, unless no row of the group has an id (then keep_id is null and they
     stay). Rows that repeat an id share its fate. Other columns are ignored. An empty table gives an empty result.
 
-    digest maps the normalised text to its key; texts that share a key but differ in bytes are told apart whatever it is.
+    Identifiers and sizes come from the compacted index. Only rows whose digest is a hit (or passes the hits' filter) have
+    their texts read again and compared by bytes. digest maps the normalised text to its key; texts that share a key but
+    differ in bytes are told apart whatever it is. Rows of digests that make up a large share of the table are matched
+    with a broadcast of at most HEAVY digests, so no task holds them all.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    norm = ascii_lower(F.col("t"))
+    texts = src.select("id", ascii_lower(F.col("t")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     index = DigestIndex(spark)
-    rows = index.flush(src.select(digest(norm).alias("digest"), "id"))
-    hits = index.compact().where("n > 1")
-    end = F.min if keep == "min" else F.max
-    texts = may_be_in(src.select("id", norm.alias("norm")).withColumn("digest", digest(F.col("norm"))), F.col("digest"), bit_filter(hits, "digest"))
-    verified = materialize(
-        texts.groupBy("digest", "norm").agg(end("id").alias("keep_id"), F.count(F.lit(1)).alias("size")).select("digest", F.sha2(F.col("norm").cast("binary"), 512).alias("strong"), "keep_id", "size"),
-        "verified",
-    )
-    per = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("size").alias("size"))
-    out = rows.join(per.where("size > 1 OR texts > 1"), "digest", "left")
-    plain = out.where("texts IS NULL OR texts = 1")
+    rows = index.flush(texts.select("digest", "id"))
+    hits = index.compact().where("n > 1").selectExpr("digest", f"{'lo' if keep == 'min' else 'hi'} AS keep_id", "n AS size")
+    filter_ = bit_filter(hits, "digest")
+    bytes_ = may_be_in(texts, F.col("digest"), filter_).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+    clashes = materialize(bytes_.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "clashes")
+    heavy = hits.where(F.col("size") >= max(1, -(-rows.count() // HEAVY)))
+    near = has_hit(rows, F.col("digest"), filter_)
+    split = near.where("_hit").drop("_hit").join(F.broadcast(heavy), "digest", "left")
+    light = split.where("size IS NULL").select("digest", "id").join(hits, "digest", "left")
     cols = ["id AS doc_id", "CASE WHEN size IS NULL THEN id ELSE keep_id END AS keep_id", "coalesce(size, 1L) AS group_size", "digest"]
-    result = plain.selectExpr(*cols)
-    clashes = per.where("texts > 1").select("digest")
+    result = split.where("size IS NOT NULL").selectExpr(*cols).unionByName(light.selectExpr(*cols))
     if not clashes.isEmpty():
         # Different bytes under one digest: these few rows are matched on the bytes' own strong hash beside the digest.
-        again = may_be_in(src.withColumn("norm", norm).select("id", "norm", digest(norm).alias("digest")), F.col("digest"), bit_filter(clashes, "digest"))
-        again = again.join(clashes, "digest", "left_semi").select("id", "digest", F.sha2(F.col("norm").cast("binary"), 512).alias("strong"))
-        result = result.unionByName(again.join(verified, ["digest", "strong"]).selectExpr("id AS doc_id", "keep_id", "size AS group_size", "digest"))
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        result = result.join(clashes, "digest", "left_anti")
+        again = may_be_in(texts, F.col("digest"), bit_filter(clashes, "digest")).join(clashes, "digest", "left_semi")
+        again = again.select("id", "digest", F.sha2(F.col("norm").cast("binary"), 512).alias("strong"))
+        end = F.min if keep == "min" else F.max
+        groups = again.groupBy("digest", "strong").agg(end("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+        result = result.unionByName(again.join(groups, ["digest", "strong"]).selectExpr("id AS doc_id", "keep_id", "size AS group_size", "digest"))
+    alone = near.where("NOT _hit").selectExpr("id AS doc_id", "id AS keep_id", "1L AS group_size", "digest")
+    return result.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +119,7 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows repeat that id and text, the least of them stays. Rows that repeat an id with different texts are judged each by its own.
     """
     key = row_key(F.col("digest"), F.col("doc_id")).alias("_key")
-    rows = exact_dedup(docs, keep="max").groupBy(key).agg(F.bool_or("kept").alias("_one"), F.count(F.lit(1)).alias("n"))
+    rows = exact_dedup(docs, keep="max").where("group_size > 1").groupBy(key).agg(F.bool_or("kept").alias("_one"), F.count(F.lit(1)).alias("n"))
     verdicts = materialize(rows.where("n > 1 OR NOT _one").select("_key", "_one"), "verdicts")
     norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return decide(docs, row_key(sha256_digest(norm), F.col("doc_id")), verdicts)
