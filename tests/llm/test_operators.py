@@ -241,6 +241,29 @@ def test_secret_battery(spark):
     assert sum(bool(out[i]) for i in range(100, 160)) <= 6
 
 
+def test_secret_p_values_are_uniform(spark):
+    rng, rows = random.Random(4), []
+    for name, _, alphabet in secrets.ENCODINGS:
+        rows += [(name, n, "".join(rng.choice(alphabet) for _ in range(n))) for n in (20, 31, 64, 150) for _ in range(500)]
+    df = spark.createDataFrame(rows, "name string, n int, token string").withColumn("t", secrets.battery(F.col("token"))).where("t.encoding = name")
+    got = df.select("name", "n", secrets.p_value(F.col("t")).alias("p")).groupBy("name", "n").agg(F.count("p").alias("m"), *(F.avg((F.col("p") <= x).cast("int")).alias(f"at{i}") for i, x in enumerate((0.05, 0.2, 0.5)))).collect()
+    assert len(got) == 4 * len(secrets.ENCODINGS) and min(r.m for r in got) > 180  # short tokens may show a smaller alphabet
+    for r in got:
+        assert r.at0 < 0.1 and 0.1 < r.at1 < 0.3 and 0.38 < r.at2 < 0.62, r
+
+
+def test_secret_battery_finds_what_patterns_do_not(spark):
+    rng, both = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    names = ["getInternationalizationResourceBundleLoader", "AbstractSingletonProxyFactoryBeanDefinitionReader", "src/main/Java/Components/Handlers/Index", "parseHTTPRequestHeaderFieldsAndBody"]
+    rows = [(i, "key " + "".join(rng.choice(both) for _ in range(40)) + ".") for i in range(40)] + [(100 + i, f"see {names[i % 4]} here") for i in range(40)]
+    rows.append((200, "TheQuickBrownFoxJumpsOverTheLazyDogAgainAndAgain"))
+    out = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base for r in out.values())
+    assert sum([(s.start, s.stop) for s in out[i].added] == [(4, 44)] for i in range(40)) >= 36
+    assert not any(out[100 + i].added for i in range(40))
+    assert out[200].added  # a limit of the method: the letters of a pangram are as even as random ones
+
+
 def digits(s):
     return sum(c.isdigit() for c in s)
 
