@@ -295,6 +295,23 @@ def test_pii_trees(spark):
     assert {r.doc_id: r.r for r in red.select("doc_id", pii.redact(F.col("text"), F.concat("base", "added")).alias("r")).collect()}[1] == "my SSN [ssn] please"
 
 
+def test_pii_trees_weigh_format_and_context(spark):
+    rows = [(1, "Telefon 030 1234567 bitte"), (2, "Rechnung 030 1234567 bitte"), (3, "invoice 219-09-9999"), (4, "tel 06 12 34 56 78."), (5, "serial 555-234-5678")]
+    out = {r.doc_id: [s.kind for s in r.added] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ["national"], 2: [], 3: [], 4: ["national"], 5: []}
+
+
+def test_pii_trees_on_rows_not_seen(spark):
+    rows = pii.synthetic(1200, seed=99)
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string, label int")
+    label, base = {r[0]: r[3] for r in rows}, {r[0] for r in rows}
+    found = {r.doc_id for r in pii.pii(df).collect() if r.added}
+    valid = pii._candidates(df).selectExpr("doc_id", f"exists(filter(candidates, c -> c.span.kind = kind), c -> c.x[{list(pii.FEATURES).index('valid')}] = 1) AS v").collect()
+    share = lambda ids: sum(label[i] for i in ids) / len(ids)
+    recall = sum(label[i] for i in found) / sum(label.values())
+    assert share([r.doc_id for r in valid if r.v]) < 0.8 < 0.95 < share(found) and recall > 0.7 and found <= base
+
+
 # ---- 5 ----
 
 
