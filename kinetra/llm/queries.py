@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, sentence_pieces, sharding
+from . import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, periodic_runs, pii, quality, secrets, sentence_pieces, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8,
     "op9_license_scan": license_scan.op9,
     "op10_pii": pii.op10,
+    "op11_embedding_whitening": whitening.op11,
+    "op12_toxicity": toxicity.op12,
+    "op13_periodic_runs": periodic_runs.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_minhash_near_dedup": near_dedup.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontamination": decontaminate.OP8_SQL}

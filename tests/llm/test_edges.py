@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinetra.llm import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, sentence_pieces, sharding
+from kinetra.llm import decontaminate, exact_dedup, html_extract, license_scan, near_dedup, periodic_runs, pii, quality, secrets, sentence_pieces, sharding, toxicity, whitening
 
 LONG = "a1b2 " * 8000 + "x" * 30000 + " " + "7" * 20000 + "."
 CLASH = "kind string, tk string, n long, mark string, key string, w string, q int, id long, digest string, word string, span string, ids string, base string, c string, shard string, slot int, url string, assign string, email string, label int, score double, chunk long, row long, size int, source string"
@@ -34,6 +34,7 @@ OPERATORS = {
     "2": lambda s, d: sentence_pieces.decode(sentence_pieces.encode(d, sentence_pieces.load()), sentence_pieces.load()),
     "3": lambda s, d: near_dedup.near_dedup(d), "4": lambda s, d: secrets.secret_scan(d), "5": lambda s, d: sharding.assign(d, "doc_id", ["a", "b"], 13), "6": lambda s, d: exact_dedup.exact_dedup(d),
     "7": lambda s, d: quality.quality(d, labels(s)), "8": lambda s, d: decontaminate.decontaminate(d, bench(s)), "9": lambda s, d: license_scan.license_scan(d), "10": lambda s, d: pii.pii(d),
+    "12": lambda s, d: toxicity.toxicity(d, labels(s)), "13": lambda s, d: periodic_runs.find_runs(d),
 }
 
 
