@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .config import DTWConfig, GraphConfig
-from .operators import clean, curriculum, dtw, graph, metrics, text, training
+from .config import DTWConfig, GraphConfig, PathConfig
+from .functions.quantiles import quantiles
+from .operators import clean, cluster, curriculum, dtw, graph, metrics, text, training
 from .operators import kinematics as kin
 from .operators import pairs as P
 from .sources import store
@@ -39,6 +40,11 @@ def pairs_of(spark: SparkSession, d: str) -> DataFrame:
     return P.euclidean(nodes_of(spark, d)).withColumn("d", F.round("d", 6))
 
 
+def kept_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """pairs_of() as a written table, for what reads it more than once."""
+    return store.writer(spark)(pairs_of(spark, d))
+
+
 # ---- kinematics and difficulty ----------------------------------------------------------------------------------------
 
 _FEATURES = (
@@ -217,7 +223,7 @@ def j6(spark, d):
 
 @query("a1_pair_summary", _P + " SELECT count(*) AS n_pairs, round(avg(d), 6) AS diversity_score, round(median(d), 6) AS median_pairwise, round(stddev_pop(d), 6) AS std_pairwise, min(d) AS min_pairwise, max(d) AS max_pairwise, round(stddev_pop(d) / avg(d), 6) AS dispersion, round(quantile_cont(d, 0.99) / median(d), 6) AS tail_ratio FROM pairs")
 def a1(spark, d):
-    return rounded(P.summary(pairs_of(spark, d)))
+    return rounded(P.summary(kept_pairs(spark, d)))
 
 
 @query("a5_nearest", _P + " SELECT i AS idx, min(d) AS nn FROM sym GROUP BY i")
@@ -227,7 +233,7 @@ def a5(spark, d):
 
 @query("a6_redundancy", _P + ", nn AS (SELECT i, min(d) AS nn FROM sym GROUP BY i) SELECT round(avg(nn), 6) AS mean_nn_distance, round(avg(CASE WHEN nn <= (SELECT quantile_cont(d, 0.05) FROM pairs) THEN 1.0 ELSE 0.0 END), 6) AS redundancy_ratio FROM nn")
 def a6(spark, d):
-    return rounded(P.redundancy(pairs_of(spark, d)))
+    return rounded(P.redundancy(kept_pairs(spark, d)))
 
 
 @query("a7_cluster_balance", "WITH s AS (SELECT label % 4 AS c, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM s) SELECT round(-sum(p * ln(p)) / ln(count(*)), 9) AS cluster_balance FROM p")
@@ -256,10 +262,9 @@ def a10(spark, d):
 _W = ", within AS (SELECT n.idx, n.cluster, coalesce(sum(s.d) FILTER (b.cluster = n.cluster), 0) AS total FROM nodes n LEFT JOIN sym s ON s.i = n.idx LEFT JOIN nodes b ON s.j = b.idx GROUP BY ALL)"
 
 
-@query("a13_medoids", _P + _W + " SELECT cluster, arg_min(idx, (round(total, 6), idx)) AS idx FROM within GROUP BY cluster")
+@query("a13_medoids", _P + _W + " SELECT cluster, arg_min(idx, (round(total, 9), idx)) AS idx FROM within GROUP BY cluster")
 def a13(spark, d):
-    w = P.within_sums(pairs_of(spark, d), nodes_of(spark, d))
-    return w.groupBy("cluster").agg(F.min_by("idx", F.struct(F.round("total", 6), "idx")).alias("idx"))
+    return P.medoids(pairs_of(spark, d), nodes_of(spark, d))
 
 
 @query("a14_global_medoid", _P + " SELECT i AS idx, round(sum(d), 4) AS total FROM sym GROUP BY i ORDER BY round(sum(d), 6), i LIMIT 1")
@@ -269,12 +274,12 @@ def a14(spark, d):
 
 @query("k1_redundant_pairs", _P + " SELECT i, j, d FROM pairs WHERE d <= (SELECT quantile_cont(d, 0.05) FROM pairs) ORDER BY d, i, j LIMIT 50")
 def k1(spark, d):
-    return P.redundant_pairs(pairs_of(spark, d))
+    return P.redundant_pairs(kept_pairs(spark, d))
 
 
 @query("k2_knn", _P + " SELECT i, j, d, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM sym) WHERE r <= 10")
 def k2(spark, d):
-    return P.knn(pairs_of(spark, d))
+    return P.nearest_items(nodes_of(spark, d), 10, digits=6)
 
 
 @query("k10_stratified_turns", _P + _W + " SELECT idx, cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(total, 6), idx) AS INT) AS turn FROM within")
@@ -293,7 +298,7 @@ n1 AS (SELECT subset, avg(nn) AS m, avg(CASE WHEN nn <= (SELECT quantile_cont(d,
 SELECT i.subset, c.n, round(avg(d), 6) AS diversity_score, round(median(d), 6) AS median_pairwise, min(d) AS min_pairwise, round(any_value(n1.m), 6) AS mean_nn_distance, round(any_value(n1.r), 6) AS redundancy_ratio, any_value(c.t) AS n_tasks_covered, any_value(c.s) AS n_sources_covered, any_value(c.c) AS n_clusters_covered FROM ins i JOIN n1 ON i.subset = n1.subset JOIN c ON i.subset = c.subset GROUP BY i.subset, c.n""")
 def x12(spark, d):
     n = nodes_of(spark, d)
-    return rounded(P.score_subsets(pairs_of(spark, d), n.select(F.col("source").alias("subset"), "idx"), ["subset"], n))
+    return rounded(P.score_subsets(kept_pairs(spark, d), n.select(F.col("source").alias("subset"), "idx"), ["subset"], n))
 
 
 # ---- the clip graph ---------------------------------------------------------------------------------------------------
@@ -301,12 +306,12 @@ def x12(spark, d):
 
 @query("g1_normalized", _NORM + " SELECT i, j, round(dn, 6) AS dn FROM norm")
 def g1(spark, d):
-    return rounded(graph.normalized(pairs_of(spark, d)).select("i", "j", "dn"))
+    return rounded(graph.normalized(kept_pairs(spark, d)).select("i", "j", "dn"))
 
 
 @query("g3_novelty_floor", _NORM + " SELECT round(quantile_cont(dn, 0.05), 9) AS floor FROM norm")
 def g3(spark, d):
-    return rounded(graph.novelty_floor(graph.normalized(pairs_of(spark, d))), 9)
+    return rounded(graph.novelty_floor(graph.normalized(kept_pairs(spark, d))), 9)
 
 
 _EDGES = _NORM + """, fl AS (SELECT quantile_cont(dn, 0.05) AS f FROM norm), near AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM sym) WHERE r <= 10),
@@ -317,7 +322,7 @@ e AS (SELECT src, dst, dn AS dtw, delta, abs(delta - 0.05) / 0.05 + CASE WHEN de
 
 def edges_of(spark, d):
     n = nodes_of(spark, d)
-    return graph.candidate_edges(graph.normalized(pairs_of(spark, d)), n, GraphConfig())
+    return graph.candidate_edges(graph.normalized(kept_pairs(spark, d)), n, GraphConfig())
 
 
 @query("g4_candidate_edges", _EDGES + " SELECT src, dst, round(dtw, 6) AS dtw, round(delta, 6) AS difficulty_delta, round(ramp, 6) AS ramp_cost, round(inter, 6) AS interference_cost, round(red, 6) AS redundancy_cost, round(ramp + inter + red + 0.1, 6) AS weight, ts AS task_switch, cs AS cluster_switch, es AS embodiment_switch, ss AS source_switch FROM e")
@@ -341,11 +346,17 @@ def v1(spark, d):
 
 # ---- orderings --------------------------------------------------------------------------------------------------------
 
-_ORD = _NORM + """, ord AS (SELECT source AS k, idx, task, cluster, embodiment, difficulty, CAST(row_number() OVER (PARTITION BY source ORDER BY idx) AS INT) AS step FROM nodes),
-hop AS (SELECT k, step, idx AS u, lead(idx) OVER w AS v, task AS tu, lead(task) OVER w AS tv, cluster AS cu, lead(cluster) OVER w AS cv, embodiment AS eu, lead(embodiment) OVER w AS ev FROM ord WINDOW w AS (PARTITION BY k ORDER BY step)),
+_ORD = _NORM + """, ord AS (SELECT source AS k, idx, task, cluster, embodiment, source, difficulty, CAST(row_number() OVER (PARTITION BY source ORDER BY idx) AS INT) AS step FROM nodes),
+hop AS (SELECT k, step, idx AS u, lead(idx) OVER w AS v, task AS tu, lead(task) OVER w AS tv, cluster AS cu, lead(cluster) OVER w AS cv, embodiment AS eu, lead(embodiment) OVER w AS ev, source AS su, lead(source) OVER w AS sv FROM ord WINDOW w AS (PARTITION BY k ORDER BY step)),
 hd AS (SELECT hop.*, n.d, n.dn FROM hop JOIN norm n ON n.i = least(u, v) AND n.j = greatest(u, v) WHERE v IS NOT NULL)"""
 
 
+def turns_of(spark, d):
+    """Orderings by cluster, in which the source changes."""
+    n = nodes_of(spark, d)
+    return n.select(F.col("cluster").alias("k"), F.row_number().over(W.partitionBy("cluster").orderBy("idx")).alias("step"), "idx", F.lit(False).alias("is_review"))
+
+
 def orderings_of(spark, d):
     n = nodes_of(spark, d)
     return n.select(F.col("source").alias("k"), F.row_number().over(W.partitionBy("source").orderBy("idx")).alias("step"), "idx", F.lit(False).alias("is_review"))
@@ -357,9 +368,11 @@ def x13(spark, d):
     return rounded(metrics.monotonicity(orderings_of(spark, d), nodes_of(spark, d), ["k"]))
 
 
-@query("x15_interference", _ORD + " SELECT k, round(avg((tu <> tv)::INT), 6) AS task_switch_rate, round(avg((cu <> cv)::INT), 6) AS cluster_switch_rate, round(avg((eu <> ev)::INT), 6) AS embodiment_switch_rate, round(avg(dn), 6) AS mean_hop, round(max(dn), 6) AS max_hop FROM hd GROUP BY k")
+@query("x15_interference", _ORD .replace("source AS k", "cluster AS k").replace("PARTITION BY source", "PARTITION BY cluster") + " SELECT k, round(avg((tu <> tv)::INT), 6) AS task_switch_rate, round(avg((cu <> cv)::INT), 6) AS cluster_switch_rate, round(avg((eu <> ev)::INT), 6) AS embodiment_switch_rate, round(avg((su <> sv)::INT), 6) AS source_switch_rate, round(avg(dn), 6) AS mean_hop, round(max(dn), 6) AS max_hop FROM hd GROUP BY k")
 def x15(spark, d):
-    return rounded(metrics.interference(orderings_of(spark, d), nodes_of(spark, d).drop("source"), graph.normalized(pairs_of(spark, d)), ["k"]))
+    n = nodes_of(spark, d)
+    scale = quantiles(kept_pairs(spark, d), "d", [0.95])[0]
+    return rounded(metrics.interference(turns_of(spark, d), n, None, ["k"], lambda h: metrics.with_vectors(h, n, scale)))
 
 
 @query("x16_coverage", _ORD + " SELECT k, round(count(DISTINCT cluster) / (SELECT count(DISTINCT cluster) FROM nodes), 6) AS cluster_coverage, round(count(DISTINCT task) / (SELECT count(DISTINCT task) FROM nodes), 6) AS task_coverage, count(*) AS prefix_length, count(DISTINCT cluster) AS n_clusters FROM ord GROUP BY k")
@@ -375,7 +388,7 @@ def w8(spark, d):
 @query("x17_path_redundancy", _ORD + """, cut AS (SELECT quantile_cont(d, 0.05) AS c FROM pairs), ins AS (SELECT a.k, avg(p.d) AS m FROM pairs p JOIN ord a ON p.i = a.idx JOIN ord b ON p.j = b.idx AND a.k = b.k GROUP BY a.k)
 SELECT hd.k, round(avg(CASE WHEN d <= c THEN 1.0 ELSE 0.0 END), 6) AS near_duplicate_share, round(any_value(ins.m), 6) AS mean_pairwise, 1.0::DOUBLE AS distinct_ratio FROM hd JOIN ins ON hd.k = ins.k, cut GROUP BY hd.k""")
 def x17(spark, d):
-    return rounded(metrics.path_redundancy(orderings_of(spark, d), graph.normalized(pairs_of(spark, d)), ["k"]))
+    return rounded(metrics.path_redundancy(orderings_of(spark, d), graph.normalized(kept_pairs(spark, d)), ["k"]))
 
 
 # ---- text -------------------------------------------------------------------------------------------------------------
@@ -464,13 +477,14 @@ def t5(spark, d):
 
 
 @query("x10_farthest_first", "WITH RECURSIVE " + _P.removeprefix("WITH ") + """, first AS (SELECT i AS idx FROM sym GROUP BY i ORDER BY round(sum(d), 6), i LIMIT 1),
-near AS (SELECT n.idx, coalesce(s.d, 0) AS gap, f.idx AS taken FROM nodes n, first f LEFT JOIN sym s ON s.i = n.idx AND s.j = f.idx),
+near AS (SELECT n.idx, coalesce(s.d, -1) AS gap FROM nodes n, first f LEFT JOIN sym s ON s.i = n.idx AND s.j = f.idx),
 walk AS (SELECT 1 AS rank, idx, gap, first_value(idx) OVER (ORDER BY gap DESC, idx) AS nxt FROM near
-  UNION ALL SELECT w.rank + 1, w.idx, least(w.gap, coalesce(s.d, 0)), first_value(w.idx) OVER (ORDER BY least(w.gap, coalesce(s.d, 0)) DESC, w.idx) FROM walk w LEFT JOIN sym s ON s.i = w.idx AND s.j = w.nxt WHERE w.rank < 8)
-SELECT idx, 1 AS coreset_rank FROM first UNION ALL SELECT DISTINCT nxt, CAST(rank + 1 AS INT) FROM walk WHERE rank < 8""")
+  UNION ALL SELECT w.rank + 1, w.idx, least(w.gap, coalesce(s.d, -1)), first_value(w.idx) OVER (ORDER BY least(w.gap, coalesce(s.d, -1)) DESC, w.idx)
+  FROM walk w LEFT JOIN sym s ON s.i = w.idx AND s.j = w.nxt WHERE w.rank < (SELECT count(*) - 1 FROM nodes))
+SELECT idx, 1 AS coreset_rank FROM first UNION ALL SELECT DISTINCT nxt, CAST(rank + 1 AS INT) FROM walk""")
 def x10(spark, d):
     write = store.writer(spark)
-    return curriculum.coreset_prefix(write(pairs_of(spark, d)), 8, write)
+    return curriculum.coreset_prefix(write(pairs_of(spark, d)), None, write)
 
 
 @query("k4_redundant_selection", _P + " SELECT idx FROM (SELECT i AS idx, min(d) AS nn FROM sym GROUP BY i) ORDER BY nn, idx LIMIT 25")
@@ -488,13 +502,84 @@ def k5(spark, d):
     return curriculum.select("sequential", 25, pairs_of(spark, d), nodes_of(spark, d).select("idx", "cluster"), 10**9)
 
 
-@query("p1_shortest_costs", "WITH RECURSIVE " + (_EDGES + _POOL).removeprefix("WITH ") + """, steps AS (SELECT src, dst, ramp + inter + red + 0.1 AS weight FROM e),
+_COSTS = "WITH RECURSIVE " + (_EDGES + _POOL).removeprefix("WITH ") + """, steps AS (SELECT src, dst, ramp + inter + red + 0.1 AS weight FROM e),
 r(idx, cost) USING KEY (idx) AS (SELECT idx, 0.0::DOUBLE AS cost FROM pool
-  UNION SELECT s.dst, min(round(r.cost + s.weight, 9)) FROM r JOIN steps s ON s.src = r.idx LEFT JOIN recurring.r AS q ON q.idx = s.dst WHERE q.idx IS NULL OR round(r.cost + s.weight, 9) < q.cost GROUP BY s.dst)
-SELECT idx, round(cost, 6) AS cost FROM r""")
+  UNION SELECT s.dst, min(round(r.cost + s.weight, 9)) FROM r JOIN steps s ON s.src = r.idx LEFT JOIN recurring.r AS q ON q.idx = s.dst WHERE q.idx IS NULL OR round(r.cost + s.weight, 9) < q.cost GROUP BY s.dst)"""
+_ROUTES = _COSTS + """,
+pred AS (SELECT s.dst AS idx, min(s.src) AS prev FROM steps s JOIN r a ON s.src = a.idx JOIN r b ON s.dst = b.idx WHERE round(a.cost + s.weight, 9) = b.cost AND a.cost < b.cost GROUP BY s.dst),
+back AS (SELECT idx AS target, idx, 0 AS n FROM r UNION ALL SELECT b.target, p.prev, b.n + 1 FROM back b JOIN pred p ON b.idx = p.idx),
+ways AS (SELECT target, CAST(max(n) OVER (PARTITION BY target) - n + 1 AS INT) AS step, idx FROM back)"""
+
+
+def clip_edges(spark, d, write):
+    """The nodes, the written normalised pairs, and the written edges of the clip graph with its start."""
+    n = nodes_of(spark, d)
+    norm = write(graph.normalized(write(pairs_of(spark, d))))
+    edges = write(graph.candidate_edges(norm, n, GraphConfig()))
+    heads = graph.start_pool(n).select(F.lit(graph.START).alias("src"), F.col("idx").alias("dst"), F.lit(0.0).alias("weight"))
+    return n, norm, write(edges.select("src", "dst", "weight").unionByName(heads))
+
+
+def clip_ways(edges, write):
+    tree = write(graph.predecessors(edges, graph.shortest(edges, write)))
+    return graph.routes(tree, write)
+
+
+@query("p1_shortest_costs", _COSTS + " SELECT idx, round(cost, 6) AS cost FROM r")
 def p1(spark, d):
+    write = store.writer(spark)
+    return rounded(graph.shortest(clip_edges(spark, d, write)[2], write).where(F.col("idx") != graph.START))
+
+
+@query("p1_routes", _ROUTES + " SELECT target, step, ways.idx, round(cost, 6) AS cost FROM ways JOIN r ON ways.idx = r.idx")
+def p1_routes(spark, d):
+    write = store.writer(spark)
+    return rounded(clip_ways(clip_edges(spark, d, write)[2], write))
+
+
+#: A rehearsal after every second clip, three a way at most.
+REHEARSAL = PathConfig(review_every=2, max_reviews=3)
+
+
+@query("p2_rehearsed_ways", _ROUTES + _W + """,
+medoid AS (SELECT arg_min(idx, (round(total, 9), idx)) AS idx FROM within GROUP BY cluster),
+way AS (SELECT target, list({'c': w.idx, 'f': n.cluster, 'plain': m.idx IS NULL} ORDER BY step) AS clips FROM ways w JOIN nodes n ON w.idx = n.idx LEFT JOIN medoid m ON m.idx = w.idx GROUP BY target),
+far AS (SELECT target, map(list(k), list(dn)) AS far FROM (SELECT DISTINCT a.target, least(a.idx, b.idx) || ':' || greatest(a.idx, b.idx) AS k, dn FROM ways a JOIN ways b ON a.target = b.target AND b.step < a.step AND a.step % 2 = 0 JOIN norm ON i = least(a.idx, b.idx) AND j = greatest(a.idx, b.idx)) GROUP BY target),
+fold AS (SELECT way.target, clips, coalesce(far, map([]::VARCHAR[], []::DOUBLE[])) AS far, 0 AS n, []::STRUCT(f INT, m STRUCT(c INT, plain BOOLEAN)[])[] AS fam, []::STRUCT(c INT, review BOOLEAN)[] AS path, 3 AS left_ FROM way LEFT JOIN far ON way.target = far.target
+  UNION ALL SELECT target, clips, far, n, list_append(list_filter(fam, lambda g: NOT due OR g.f <> old.f), CASE WHEN due THEN {'f': old.f, 'm': list_extract(list_filter(fam, lambda g: g.f = old.f), 1).m} END).list_filter(lambda g: g IS NOT NULL), CASE WHEN due THEN path || [{'c': x.c, 'review': false}, {'c': again, 'review': true}] ELSE path || [{'c': x.c, 'review': false}] END, left_ - due::INT
+  FROM (SELECT *, list_sort(list_transform(old.m, lambda m: {'near': -coalesce(far[least(m.c, x.c) || ':' || greatest(m.c, x.c)], 0), 'plain': m.plain, 'c': m.c}))[1].c AS again,
+    list_append(list_filter(was, lambda g: g.f <> x.f), {'f': x.f, 'm': coalesce(list_extract(list_filter(was, lambda g: g.f = x.f), 1).m, []) || [{'c': x.c, 'plain': x.plain}]}) AS fam
+    FROM (SELECT target, clips, far, n + 1 AS n, fam AS was, path, left_, clips[n + 1] AS x, fam[1] AS old, left_ > 0 AND n + 1 < len(clips) AND (n + 1) % 2 = 0 AND len(fam) > 0 AS due FROM fold WHERE n < len(clips))))
+SELECT target, CAST(s AS INT) AS step, path[s].c AS idx, path[s].review AS is_review FROM (SELECT target, path, unnest(generate_series(1, len(path))) AS s FROM fold WHERE n = len(clips))""")
+def p2(spark, d):
+    write = store.writer(spark)
+    n, norm, edges = clip_edges(spark, d, write)
+    medoid = P.medoids(norm, n.select("idx", "cluster")).select("idx", F.lit(True).alias("is_cluster_medoid"))
+    nodes = write(n.select("idx", "cluster").join(medoid, "idx", "left"))
+    return graph.rehearsed(write(clip_ways(edges, write)), nodes, norm, REHEARSAL)
+
+
+_PARTS = _EDGES.replace("r <= 10", "r <= 30") + _POOL.replace("pool AS", "pool_ AS") + """, pool AS (SELECT pool_.idx FROM pool_ JOIN nodes ON pool_.idx = nodes.idx WHERE embodiment = 0), inside AS (SELECT src, dst FROM e WHERE NOT es),
+cand AS (SELECT 0 AS tier, 0.0::DOUBLE AS k, src, dst FROM inside UNION ALL SELECT 1, dn, a.idx, b.idx FROM nodes a JOIN nodes b ON a.idx <> b.idx AND a.difficulty <= b.difficulty + 0.05 JOIN norm ON i = least(a.idx, b.idx) AND j = greatest(a.idx, b.idx)),
+walk(idx, src, tier) USING KEY (idx) AS (SELECT idx, -1 AS src, -1 AS tier FROM pool
+  UNION SELECT * FROM (SELECT dst, src, tier FROM (SELECT c.dst, c.src, c.tier, c.k FROM recurring.walk w JOIN cand c ON c.src = w.idx UNION ALL SELECT idx, -1, 2, difficulty FROM nodes) x WHERE x.dst NOT IN (SELECT idx FROM recurring.walk) AND EXISTS (FROM walk) ORDER BY tier, k, dst, src LIMIT 1))"""
+
+
+@query("g6_repaired_graph", "WITH RECURSIVE " + _PARTS.removeprefix("WITH ") + """ SELECT src, dst, false AS is_repair FROM inside UNION ALL SELECT -1, idx, false FROM pool UNION ALL SELECT src, idx, true FROM walk WHERE tier > 0""")
+def g6(spark, d):
+    """A clip graph in three parts: without the edges that change embodiment, and with starts of one. The other two must be reached by repairs."""
+    write, n, cfg = store.writer(spark), nodes_of(spark, d), GraphConfig(k_neighbors=30)
+    norm = write(graph.normalized(write(pairs_of(spark, d))))
+    edges = write(graph.candidate_edges(norm, n, cfg).where("NOT embodiment_switch"))
+    start = graph.start_pool(n).join(n.where("embodiment = 0"), "idx", "left_semi")
+    return graph.repair(norm, n, edges, start, cfg, write).select("src", "dst", "is_repair")
+
+
+@query("x5_clusters")
+def x5(spark, d):
+    """Average-linkage clusters of all items, at the number of clusters with the best silhouette. tests hold the merges against merging one pair at a time."""
     write, n = store.writer(spark), nodes_of(spark, d)
-    edges = write(graph.candidate_edges(write(graph.normalized(pairs_of(spark, d))), n, GraphConfig()))
-    heads = graph.start_pool(n).select(F.lit(graph.START).alias("src"), F.col("idx").alias("dst"), F.lit(0.0).alias("weight"))
-    found = graph.shortest(edges.select("src", "dst", "weight").unionByName(heads), write)
-    return rounded(found.where(F.col("idx") != graph.START))
+    pairs, items = write(pairs_of(spark, d)), n.count()
+    tree = cluster.merges(pairs, "average", write)
+    k, _ = cluster.suggest_k(pairs, items, write=write, tree=tree)
+    return cluster.agglomerate(pairs, items, k, write=write, tree=tree).withColumn("k", F.lit(k))

@@ -8,52 +8,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SELECTION_METHODS, one_of
+from ..sources.store import writer
 from . import pairs as P
-from .cluster import matrix
 
 
 def coreset_order(pairs: DataFrame, n: int) -> DataFrame:
-    """idx, coreset_rank 1..n: from the global medoid on, always the item farthest from those taken (ties by idx). Gathers a bounded matrix; coreset_prefix() does not."""
-    m = matrix(pairs, n)
-    order = farthest_first(m)
-    return pairs.sparkSession.createDataFrame([(int(i), r + 1) for r, i in enumerate(order)], "idx int, coreset_rank int")
-
-
-def farthest_first(m: np.ndarray) -> list[int]:
-    n = len(m)
-    if not n:
-        return []
-    order = [int(np.round(m.sum(1), 9).argmin())]
-    gap = m[order[0]].copy()
-    taken = np.zeros(n, bool)
-    taken[order[0]] = True
-    for _ in range(n - 1):
-        gap_open = np.where(taken, -1.0, gap)
-        nxt = int(gap_open.argmax())
-        order.append(nxt)
-        taken[nxt] = True
-        gap = np.minimum(gap, m[nxt])
-    return order
-
-
-def coreset_prefix(pairs: DataFrame, k: int, write) -> DataFrame:
-    """The first k of the farthest-point order without a matrix, for any number of items: one aggregation and one written table a pick.
-
-    write(df) writes a table to a shared folder and reads it back, so that the plan does not grow.
+    """idx, coreset_rank 1..n: from the global medoid on, always the item farthest from those taken (ties by idx)."""
+    if n == 1:
+        return pairs.sparkSession.createDataFrame([(0, 1)], "idx int, coreset_rank int")
+    return coreset_prefix(pairs, None, writer(pairs.sparkSession))
+
+
+def coreset_prefix(pairs: DataFrame, k: int | None, write, batch: int = 128) -> DataFrame:
+    """idx, coreset_rank: the first k of the farthest-point order (all items where k is None), without a matrix.
+
+    A pass looks at the `batch` items that are farthest from those taken, reads their distances to each other (batch
+    squared at most) and takes from among them for as long as the next one is no nearer than the best of all others
+    was, which can only have come nearer since. Then one join lowers the others' gaps by all that were taken. write(df)
+    writes a table to a shared folder and reads it back, so that the plan does not grow.
     """
     spark = pairs.sparkSession
     both = P.symmetric(pairs)
     first = P.global_medoid(pairs).first()
     if first is None:
         return spark.createDataFrame([], "idx int, coreset_rank int")
-    order, gap = [first["idx"]], None
-    while len(order) < k:
-        row = both.where(F.col("i") == order[-1]).select(F.col("j").alias("idx"), "d")
-        gap = write(row if gap is None else gap.join(row.withColumnRenamed("d", "e"), "idx").select("idx", F.least("d", "e").alias("d")))
-        nxt = gap.where(~F.col("idx").isin(order)).orderBy(F.desc("d"), "idx").first()
-        if nxt is None:
+    order = [first["idx"]]
+    gap = write(both.where(F.col("i") == order[0]).select(F.col("j").alias("idx"), F.col("d").alias("gap")))
+    while k is None or len(order) < k:
+        head = gap.orderBy(F.desc("gap"), "idx").limit(batch + 1).collect()
+        if not head:
             break
-        order.append(nxt["idx"])
+        rest = head[batch] if len(head) > batch else None
+        open_ = {r["idx"]: r["gap"] for r in head[:batch]}
+        ids = list(open_)
+        near = {}
+        for r in pairs.where(F.col("i").isin(ids) & F.col("j").isin(ids)).select("i", "j", "d").collect():
+            near[r["i"], r["j"]] = near[r["j"], r["i"]] = r["d"]
+        taken = []
+        while open_ and (k is None or len(order) < k):
+            at = min(open_, key=lambda c: (-open_[c], c))
+            if rest is not None and (-open_[at], at) > (-rest["gap"], rest["idx"]):
+                break
+            del open_[at]
+            taken.append(at)
+            order.append(at)
+            for c in open_:
+                open_[c] = min(open_[c], near[at, c])
+        nearer = both.where(F.col("i").isin(taken)).groupBy(F.col("j").alias("idx")).agg(F.min("d").alias("_d"))
+        gap = write(gap.where(~F.col("idx").isin(taken)).join(nearer, "idx", "left").select("idx", F.least("gap", "_d").alias("gap")))
     return spark.createDataFrame([(i, r + 1) for r, i in enumerate(order)], "idx int, coreset_rank int")
 
 

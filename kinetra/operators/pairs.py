@@ -2,18 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import grouped_medians, quantiles
+
+
+#: Bytes of vectors that a block of items may have; a tile holds two blocks.
+BLOCK_BYTES = 4 << 20
+
+
+def _blocks(items: DataFrame, most: int = 1024) -> int:
+    """How many blocks items (idx, v) go to: at most `most` of them, or BLOCK_BYTES of vectors, a block on average."""
+    r = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dims")).first()
+    return max(1, -(-r["n"] // max(1, min(most, BLOCK_BYTES // (8 * max(r["dims"], 1))))))
+
+
+def _tiles(items: DataFrame, blocks: int) -> DataFrame:
+    """Each item once for every tile (p <= q) of its block; `mine` tells which side of the tile it is on."""
+    placed = items.select(F.col("idx").cast("int").alias("idx"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("b"))
+    other = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    return other.select("idx", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+
+def _distances(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of one tile as numbers of an item, of those after it (or of the other block), and their distances."""
+    ids, v = frame["idx"].to_numpy(), np.stack(frame["v"].to_numpy()) if len(frame) else np.zeros((0, 1))
+    left, right = (np.flatnonzero(frame["b"].to_numpy() == frame[c].iloc[0]) for c in ("p", "q"))
+    same = frame["p"].iloc[0] == frame["q"].iloc[0]
+    for at, i in enumerate(left):
+        js = right[at + 1 :] if same else right
+        if len(js):
+            gap = v[js] - v[i]
+            yield np.full(len(js), ids[i]), ids[js], np.sqrt((gap * gap).sum(axis=1))
 
-def euclidean(items: DataFrame, blocks: int = 16) -> DataFrame:
-    """i, j, d of all i < j of items (idx, v). Blocks of items are equi-joined tile by tile, so no join compares every row with every row in one task."""
-    placed = items.select("idx", "v", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("b"))
-    left = placed.select(F.col("idx").alias("i"), F.col("v").alias("vi"), "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    right = placed.select(F.col("idx").alias("j"), F.col("v").alias("vj"), F.col("b").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    square = F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    return left.join(right, ["b", "o"]).where("i < j").select("i", "j", F.sqrt(square).alias("d"))
+
+def euclidean(items: DataFrame, blocks: int | None = None) -> DataFrame:
+    """i, j, d of all i < j of items (idx, v; idx once). Items go to blocks of bounded size and each two blocks to a tile, which one task works through: an item is sent once for every block, no pair twice."""
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(_distances(frame))
+        if not rows:
+            return pd.DataFrame({"i": np.zeros(0, np.int32), "j": np.zeros(0, np.int32), "d": np.zeros(0)})
+        a, b, d = (np.concatenate(x) for x in zip(*rows))
+        return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d})
+
+    return _tiles(items, blocks or _blocks(items)).groupBy("p", "q").applyInPandas(tile, "i int, j int, d double")
+
+
+def nearest_items(items: DataFrame, k: int = 10, blocks: int | None = None, digits: int | None = None) -> DataFrame:
+    """knn() straight from items (idx, v): i, j, d, rank. A tile hands on the k nearest of each of its items, so k rows for each item and block are shuffled, never all pairs. Distances are rounded to `digits` places before they are compared, if that is given."""
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(_distances(frame))
+        if not rows:
+            return pd.DataFrame({"i": np.zeros(0, np.int32), "j": np.zeros(0, np.int32), "d": np.zeros(0)})
+        a, b, d = (np.concatenate(x) for x in zip(*rows))
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        d = d if digits is None else np.round(d, digits)
+        order = np.lexsort((b, d, a))
+        first = np.r_[True, a[order][1:] != a[order][:-1]]
+        place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+        at = order[place < k]
+        return pd.DataFrame({"i": a[at], "j": b[at], "d": d[at]})
+
+    near = _tiles(items, blocks or _blocks(items)).groupBy("p", "q").applyInPandas(tile, "i int, j int, d double")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
@@ -22,21 +81,19 @@ def symmetric(pairs: DataFrame) -> DataFrame:
 
 
 def summary(pairs: DataFrame) -> DataFrame:
-    """One row: n_pairs, diversity_score (mean), median, std (population), min, max, dispersion, tail_ratio (null without pairs)."""
-    g = pairs.agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("diversity_score"), F.median("d").alias("median_pairwise"), F.stddev_pop("d").alias("std_pairwise"),
-        F.min("d").alias("min_pairwise"), F.max("d").alias("max_pairwise"), F.percentile("d", 0.99).alias("_p99"),
-    )
-    return g.select(
-        "n_pairs", "diversity_score", "median_pairwise", "std_pairwise", "min_pairwise", "max_pairwise",
-        F.when(F.col("diversity_score") > 0, F.col("std_pairwise") / F.col("diversity_score")).otherwise(0.0).alias("dispersion"),
-        F.when(F.col("n_pairs") > 0, F.when(F.col("median_pairwise") > 0, F.col("_p99") / F.col("median_pairwise")).otherwise(0.0)).alias("tail_ratio"),
-    )
+    """One row: n_pairs, diversity_score (mean), median, std (population), min, max, dispersion, tail_ratio (null without pairs). Reads pairs a few times: hand over a written table."""
+    g = pairs.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+    median, p99 = quantiles(pairs, "d", [0.5, 0.99], (g["n"], g["lo"], g["hi"]))
+    spread = None if not g["n"] else g["std"] / g["mean"] if g["mean"] > 0 else 0.0
+    tail = None if not g["n"] else p99 / median if median > 0 else 0.0
+    names = ("n_pairs", "diversity_score", "median_pairwise", "std_pairwise", "min_pairwise", "max_pairwise", "dispersion", "tail_ratio")
+    row = (g["n"], g["mean"], median, g["std"], g["lo"], g["hi"], 0.0 if spread is None else spread, tail)
+    return pairs.sparkSession.range(1).select(*(F.lit(v).cast("long" if c == "n_pairs" else "double").alias(c) for c, v in zip(names, row)))
 
 
-def quantile(pairs: DataFrame, q: float, alias: str) -> DataFrame:
-    """One row: the exact quantile of d, linearly interpolated."""
-    return pairs.agg(F.percentile("d", q).alias(alias))
+def quantile(pairs: DataFrame, q: float, column: str = "d") -> Column:
+    """The exact quantile of d, linearly interpolated, as a literal (null without pairs)."""
+    return F.lit(quantiles(pairs, column, [q])[0]).cast("double")
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -46,13 +103,13 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 def redundancy(pairs: DataFrame, q: float = 0.05) -> DataFrame:
     """One row: mean_nn_distance and redundancy_ratio, the share of items whose nearest neighbour is within the q-quantile of all pairs."""
-    cut = quantile(pairs, q, "_cut")
-    return nearest(pairs).join(F.broadcast(cut)).agg(F.avg("nn").alias("mean_nn_distance"), F.avg((F.col("nn") <= F.col("_cut")).cast("double")).alias("redundancy_ratio"))
+    cut = quantile(pairs, q)
+    return nearest(pairs).agg(F.avg("nn").alias("mean_nn_distance"), F.avg((F.col("nn") <= cut).cast("double")).alias("redundancy_ratio"))
 
 
 def redundant_pairs(pairs: DataFrame, q: float = 0.05, most: int = 50) -> DataFrame:
     """The closest pairs within the q-quantile, at most `most`; ties by i, j."""
-    return pairs.join(F.broadcast(quantile(pairs, q, "_cut"))).where(F.col("d") <= F.col("_cut")).drop("_cut").orderBy("d", "i", "j").limit(most)
+    return pairs.where(F.col("d") <= quantile(pairs, q)).orderBy("d", "i", "j").limit(most)
 
 
 def restrict(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -132,11 +189,14 @@ def score_subsets(pairs: DataFrame, subsets: DataFrame, keys: list[str], items:
     """
     one = subsets.select(*keys, "idx")
     inside = pairs.join(one.withColumnRenamed("idx", "i"), "i").join(one.withColumnRenamed("idx", "j"), [*keys, "j"])
-    scores = inside.groupBy(*keys).agg(F.avg("d").alias("diversity_score"), F.median("d").alias("median_pairwise"), F.min("d").alias("min_pairwise"))
-    cut = quantile(pairs, q, "_cut")
-    nn = inside.select(*keys, F.explode(F.array("i", "j")).alias("idx"), "d").groupBy(*keys, "idx").agg(F.min("d").alias("nn"))
-    near = nn.join(F.broadcast(cut)).groupBy(*keys).agg(F.avg("nn").alias("mean_nn_distance"), F.avg((F.col("nn") <= F.col("_cut")).cast("double")).alias("redundancy_ratio"))
     size = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = size.agg(F.max("n")).first()[0] or 0
+    scores = inside.groupBy(*keys).agg(F.avg("d").alias("diversity_score"), F.min("d").alias("min_pairwise"), *([F.median("d").alias("median_pairwise")] if most <= 1400 else []))
+    if most > 1400:  # over a million pairs in one group: no task sorts them
+        scores = scores.join(grouped_medians(inside, keys, "d", "median_pairwise"), keys)
+    cut = quantile(pairs, q)
+    nn = inside.select(*keys, F.explode(F.array("i", "j")).alias("idx"), "d").groupBy(*keys, "idx").agg(F.min("d").alias("nn"))
+    near = nn.groupBy(*keys).agg(F.avg("nn").alias("mean_nn_distance"), F.avg((F.col("nn") <= cut).cast("double")).alias("redundancy_ratio"))
     out = size.join(scores, keys, "left").join(near, keys, "left")
     if items is not None:
         cover = one.join(items.select("idx", "task", "source", "cluster"), "idx").groupBy(*keys).agg(F.countDistinct("task").alias("n_tasks_covered"), F.countDistinct("source").alias("n_sources_covered"), F.countDistinct("cluster").alias("n_clusters_covered"))

@@ -57,8 +57,9 @@ class Engine:
         if n < 2:
             out = Report(n=n, episodes=episodes, skipped=skipped, pairs=pairs, trajectories=trajectories, frame=None, curriculum=None, measures=None, ks=None, k=n, agreement=[])
         else:
-            k, ks = (self.k, None) if self.k else cluster.suggest_k(pairs, n, 2, min(10, n - 1), self.linkage)
-            labels = self.write(cluster.agglomerate(pairs, n, max(2, k), self.linkage))
+            tree = self._timed("tree", lambda: cluster.merges(pairs, self.linkage, self.write))
+            k, ks = (self.k, None) if self.k else cluster.suggest_k(pairs, n, 2, min(10, n - 1), self.linkage, write=self.write, tree=tree)
+            labels = self.write(cluster.agglomerate(pairs, n, max(2, k), self.linkage, self.write, tree))
             scored = self.write(kinematics.difficulty(kinematics.features(frames), scaling=self.scaling))
             meta = episodes.select("idx", "episode_id", "task_name", "task_description", "source", "embodiment")
             table = self.write(curriculum.build(scored, pairs, labels, n, meta))
@@ -143,13 +144,9 @@ class PathFinder:
         return metrics.report(one, self.nodes, self.norm, ["k"])
 
     def coreset(self) -> list[int]:
-        ids = sorted(self.cluster)
-        at = {c: p for p, c in enumerate(ids)}
-        table = self.pairs.toArrow()
-        m = np.zeros((len(ids), len(ids)))
-        for i, j, d in zip(*(table.column(c).to_pylist() for c in ("i", "j", "d"))):
-            m[at[i], at[j]] = m[at[j], at[i]] = d
-        return [ids[p] for p in curriculum.farthest_first(m)]
+        """The scope's clips in farthest-point order."""
+        order = curriculum.coreset_prefix(self.pairs, None, self.engine.write).orderBy("coreset_rank").collect()  # a row a clip of the bounded scope
+        return [r["idx"] for r in order] or sorted(self.cluster)
 
     def compare(self, steps: list[tuple[int, bool]], seeds: int = 50, seed: int = 42, target: int = 0) -> DataFrame:
         """The path's report beside its baselines', means over seeds; one job for all."""
