@@ -559,7 +559,7 @@ def p2(spark, d):
     return graph.rehearsed(write(clip_ways(edges, write)), nodes, norm, REHEARSAL)
 
 
-_PARTS = _EDGES.replace("r <= 10", "r <= 30") + _POOL.replace("pool AS", "pool_ AS") + """, pool AS (SELECT pool_.idx FROM pool_ JOIN nodes ON pool_.idx = nodes.idx WHERE embodiment = 0), inside AS (SELECT src, dst FROM e WHERE NOT es),
+_PARTS = _EDGES.replace("r <= 10", "r <= 100") + _POOL.replace("pool AS", "pool_ AS") + """, pool AS (SELECT pool_.idx FROM pool_ JOIN nodes ON pool_.idx = nodes.idx WHERE embodiment = 0), inside AS (SELECT src, dst FROM e WHERE NOT es),
 cand AS (SELECT 0 AS tier, 0.0::DOUBLE AS k, src, dst FROM inside UNION ALL SELECT 1, dn, a.idx, b.idx FROM nodes a JOIN nodes b ON a.idx <> b.idx AND a.difficulty <= b.difficulty + 0.05 JOIN norm ON i = least(a.idx, b.idx) AND j = greatest(a.idx, b.idx)),
 walk(idx, src, tier) USING KEY (idx) AS (SELECT idx, -1 AS src, -1 AS tier FROM pool
   UNION SELECT * FROM (SELECT dst, src, tier FROM (SELECT c.dst, c.src, c.tier, c.k FROM recurring.walk w JOIN cand c ON c.src = w.idx UNION ALL SELECT idx, -1, 2, difficulty FROM nodes) x WHERE x.dst NOT IN (SELECT idx FROM recurring.walk) AND EXISTS (FROM walk) ORDER BY tier, k, dst, src LIMIT 1))"""
@@ -568,7 +568,7 @@ walk(idx, src, tier) USING KEY (idx) AS (SELECT idx, -1 AS src, -1 AS tier FROM
 @query("g6_repaired_graph", "WITH RECURSIVE " + _PARTS.removeprefix("WITH ") + """ SELECT src, dst, false AS is_repair FROM inside UNION ALL SELECT -1, idx, false FROM pool UNION ALL SELECT src, idx, true FROM walk WHERE tier > 0""")
 def g6(spark, d):
     """A clip graph in three parts: without the edges that change embodiment, and with starts of one. The other two must be reached by repairs."""
-    write, n, cfg = store.writer(spark), nodes_of(spark, d), GraphConfig(k_neighbors=30)
+    write, n, cfg = store.writer(spark), nodes_of(spark, d), GraphConfig(k_neighbors=100)
     norm = write(graph.normalized(write(pairs_of(spark, d))))
     edges = write(graph.candidate_edges(norm, n, cfg).where("NOT embodiment_switch"))
     start = graph.start_pool(n).join(n.where("embodiment = 0"), "idx", "left_semi")

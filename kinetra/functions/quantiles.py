@@ -27,7 +27,8 @@ def order_statistics(df: DataFrame, column: str, places: list[int], known: tuple
     """The values with the given places (from 0) in ascending order; nulls and NaN are left out. known: number, least and greatest value, where the caller has them.
 
     Each pass counts the values of every open rank's range in BUCKETS parts, with the least and the greatest value of each
-    part, so a range of one value, however often it occurs, ends the search. A range of at most FETCH values is read.
+    part, so a range of one value, however often it occurs, ends the search. A range of at most FETCH values is read. Where
+    equal parts hardly split a range (values of many orders of magnitude), _bracket() does.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     n, lo, hi = known or values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
@@ -60,16 +61,27 @@ def order_statistics(df: DataFrame, column: str, places: list[int], known: tuple
         hit = values.select("v", F.explode(F.filter(F.array(*at), lambda x: x.isNotNull())).alias("x"))
         table = hit.groupBy("x.k", "x.b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "b").collect()
         for r in open_:
-            k, left = spans.index((r.lo, r.hi)), r.place
+            k, left, before = spans.index((r.lo, r.hi)), r.place, r.n
             for row in (x for x in table if x["k"] == k):
                 if left < row["c"]:
                     r.place, r.lo, r.hi, r.n = left, row["lo"], row["hi"], row["c"]
                     break
                 left -= row["c"]
+            if r.lo != r.hi and r.n > max(FETCH, before / 8):
+                _bracket(values, r)
             if r.lo == r.hi:
                 r.value = r.lo
 
 
+def _bracket(values: DataFrame, r: _Rank, margin: float = 1e-3) -> None:
+    """Narrow a rank's range to the values that a sketch has within `margin` on either side of it, counted exactly."""
+    inside, at = values.where(F.col("v").between(r.lo, r.hi)), r.place / max(r.n - 1, 1)
+    lo, hi = inside.agg(F.percentile_approx("v", [max(at - margin, 0.0), min(at + margin, 1.0)], 10_000)).first()[0]
+    below, held = inside.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
+    if below <= r.place < below + held:
+        r.place, r.lo, r.hi, r.n = r.place - below, lo, hi, held
+
+
 def quantiles(df: DataFrame, column: str, qs: list[float], known: tuple[int, float, float] | None = None) -> list[float | None]:
     """Exact quantiles, linearly interpolated between neighbouring values; None without values. Two or three passes over df, so hand over a written table."""
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")

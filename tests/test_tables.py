@@ -212,7 +212,7 @@ def test_repair_takes_the_nearest_allowed_pair(spark, world):
     nodes, norm, write = world
     cfg = GraphConfig(k_neighbors=3)
     dif, dn = {r.idx: r.difficulty for r in nodes.collect()}, {(r.i, r.j): r.dn for r in norm.collect()}
-    edges = write(graph.candidate_edges(norm, nodes, cfg).where("NOT cluster_switch AND src % 2 = dst % 2"))
+    edges = write(graph.candidate_edges(norm, nodes, cfg).where("NOT cluster_switch"))
     out, start = [(r.src, r.dst) for r in edges.collect()], [min(i for i in dif if i % 3 == 0)]
     links, starts, added = set(out), list(start), set()
     while True:
@@ -232,5 +232,5 @@ def test_repair_takes_the_nearest_allowed_pair(spark, world):
             starts.append(one)
             added.add((graph.START, one))
     got = graph.repair(norm, nodes, edges, spark.createDataFrame([(c,) for c in start], "idx int"), cfg, write).collect()
-    assert {(r.src, r.dst) for r in got if r.is_repair} == added and len(added) > 3
+    assert {(r.src, r.dst) for r in got if r.is_repair} == added and len(added) >= 2
     assert {(r.src, r.dst) for r in got if not r.is_repair} == set(out) | {(graph.START, c) for c in start}
