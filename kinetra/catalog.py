@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .config import DTWConfig, GraphConfig, PathConfig
 from .functions.quantiles import quantiles
+from .functions.stats import signed_rank
 from .operators import clean, cluster, curriculum, dtw, graph, metrics, text, training
 from .operators import kinematics as kin
 from .operators import pairs as P
@@ -583,3 +584,24 @@ def x5(spark, d):
     tree = cluster.merges(pairs, "average", write)
     k, _ = cluster.suggest_k(pairs, items, write=write, tree=tree)
     return cluster.agglomerate(pairs, items, k, write=write, tree=tree).withColumn("k", F.lit(k))
+
+
+_SIGNED = """WITH m AS (SELECT l_suppkey AS s, s_nationkey AS n, round(avg(l_extendedprice) FILTER (l_returnflag = 'R'), 2) AS x, round(avg(l_extendedprice) FILTER (l_returnflag = 'N'), 2) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+d AS (SELECT 'nation ' || n AS part, x - y AS d FROM m WHERE x IS NOT NULL AND y IS NOT NULL UNION ALL SELECT 'all', x - y FROM m WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT *, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY part, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY part, abs(d)) - 1) / 2.0 END AS r, count(*) OVER (PARTITION BY part, abs(d)) AS c FROM d),
+g AS (SELECT part, count(*) AS n, count(*) FILTER (d < 0) AS a_lower, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d > 0) AS a_higher, avg(d) AS mean_difference, coalesce(sum(r) FILTER (d > 0), 0) AS w, sum(CASE WHEN d <> 0 THEN c * c - 1 ELSE 0 END) AS tied FROM r GROUP BY part),
+h AS (SELECT *, n - ties AS m, (n - ties) * (n - ties + 1) / 2.0 AS every FROM g), l AS (SELECT *, least(w, every - w) AS low, (every / 2 - least(w, every - w)) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - tied / 48.0) / sqrt(2) AS z FROM h),
+p AS (SELECT *, CASE WHEN ties = 0 AND tied = 0 AND m <= 50 THEN 2 * list_sum(list_reduce(range(1, m + 1), lambda ways, k: list_transform(ways, lambda x, s: x + CASE WHEN s > k THEN ways[s - k] ELSE 0 END), [1.0::DOUBLE] || list_transform(range(1, CAST(least(every, 1275) AS INT) + 1), lambda s: 0.0::DOUBLE))[:CAST(low AS INT) + 1]) / pow(2, m)
+  WHEN z <= 0 THEN 1 WHEN z < 3 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 61), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(z, 2 * k + 1) / gamma(k + 1.0::DOUBLE) / (2 * k + 1)))
+  ELSE exp(-z * z) / sqrt(pi()) / list_reduce(range(60, 0, -1), lambda a, k: z + k / 2.0 / a, z) END AS p FROM l)
+SELECT part, n, a_lower, ties, a_higher, round(mean_difference, 6) AS mean_difference, round(least(p, 1), 6) AS p_value FROM p"""
+
+
+@query("x14_signed_rank", _SIGNED)
+def x14(spark, d):
+    """Whether suppliers' returned lines cost less than those not returned: paired by supplier, by nation and over all."""
+    li = T.table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice")
+    mean = lambda flag: F.round(F.avg(F.when(F.col("l_returnflag") == flag, F.col("l_extendedprice"))), 2)
+    by = li.groupBy("l_suppkey").agg(mean("R").alias("x"), mean("N").alias("y")).join(T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    parts = by.select(F.explode(F.array(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), F.lit("all"))).alias("part"), "x", "y")
+    return rounded(signed_rank(parts, ["part"], "x", "y"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinetra.config import GraphConfig, PathConfig
 from kinetra.functions import quantiles as Q
+from kinetra.functions.stats import erfc, signed_rank, wilcoxon
 from kinetra.operators import cluster, curriculum, graph, metrics
 from kinetra.operators import pairs as P
 from kinetra.sources import store
@@ -234,3 +235,26 @@ def test_repair_takes_the_nearest_allowed_pair(spark, world):
     got = graph.repair(norm, nodes, edges, spark.createDataFrame([(c,) for c in start], "idx int"), cfg, write).collect()
     assert {(r.src, r.dst) for r in got if r.is_repair} == added and len(added) >= 2
     assert {(r.src, r.dst) for r in got if not r.is_repair} == set(out) | {(graph.START, c) for c in start}
+
+
+# ---- signed ranks ----
+
+
+def test_signed_rank_of_groups(spark):
+    import math
+
+    rng = random.Random(8)
+    groups = {
+        "plain": [rng.gauss(0.3, 1) for _ in range(12)], "fifty": [rng.gauss(0, 1) for _ in range(50)], "many": [rng.gauss(0.1, 1) for _ in range(300)], "ties": [rng.choice([-2.0, -1.0, 1.0, 2.0]) for _ in range(30)],
+        "zeros": [0.0] * 5 + [rng.gauss(1, 1) for _ in range(9)], "none": [0.0, 0.0], "one": [1.5], "far": [1.0 + i / 100 for i in range(90)],
+    }
+    rows = [(k, 10.0 + x, 10.0) for k, v in groups.items() for x in (round(x, 3) for x in v)] + [("plain", None, 1.0), ("lost", None, 2.0)]
+    got = {r.k: r for r in signed_rank(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert set(got) == set(groups)
+    for k, r in got.items():
+        d = [(10.0 + round(x, 3)) - 10.0 for x in groups[k]]
+        p = wilcoxon(d)
+        assert (r.n, r.a_lower, r.ties, r.a_higher) == (len(d), sum(x < 0 for x in d), d.count(0.0), sum(x > 0 for x in d))
+        assert r.p_value == (None if p is None else pytest.approx(p, abs=1e-9)), k
+    x = spark.createDataFrame([(i / 7,) for i in range(60)], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-6, abs=1e-12) for r in x)
