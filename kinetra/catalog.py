@@ -180,15 +180,14 @@ def c15(spark, d):
 # ---- relational pieces ------------------------------------------------------------------------------------------------
 
 
-@query("s9_balanced_take", "SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS turn FROM customer")
+@query("s9_balanced_take", "SELECT c_nationkey, c_custkey FROM customer ORDER BY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), c_nationkey LIMIT 60")
 def s9(spark, d):
-    c = T.table(spark, d, "customer")
-    return c.select("c_nationkey", "c_custkey", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("turn"))
+    return store.balanced_take(T.table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", 60)
 
 
-@query("s23_first_appearance", "SELECT o_custkey, min(o_orderkey) AS first_order, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("s23_first_appearance", "SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey")
 def s23(spark, d):
-    return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"), F.count(F.lit(1)).alias("n"))
+    return store.first_seen(T.table(spark, d, "orders"), "o_custkey", "o_orderkey")
 
 
 @query("j1_left_join", "SELECT c_custkey, n_name, count(o_orderkey) AS n_orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
@@ -199,9 +198,9 @@ def j1(spark, d):
     return full.select("c_custkey", "n_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
 
 
-@query("j10_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j10_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j10(spark, d):
-    c, o = T.table(spark, d, "customer"), T.table(spark, d, "orders")
+    c, o = T.table(spark, d, "customer"), T.table(spark, d, "orders").where("o_orderstatus = 'F'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 

@@ -43,7 +43,7 @@ class DTWConfig:
     max_length: int | None = 200
     length_normalize: bool = True
     radius: int | None = None  # Sakoe-Chiba band; 0 and None both mean none
-    block: int = 48  # episodes a tile side
+    block: int = 128  # episodes a tile side
 
     def __post_init__(self):
         one_of("normalize", self.normalize, NORMALIZE)

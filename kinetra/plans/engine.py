@@ -171,7 +171,8 @@ class PathFinder:
     def ablation(self, features: DataFrame, n_targets: int = 40, seed: int = 0, keys: tuple[str, ...] = ("difficulty", "duration", "path_length", "tortuosity")) -> DataFrame:
         """Means by sort key of orders of each path's clips by the composite difficulty, by single features, and at random, on measures that difficulty is no part of."""
         rng = np.random.default_rng(seed)
-        values = {x["idx"]: x for x in features.select("idx", *keys).collect()} if len(self.cluster) <= cluster.MATRIX_LIMIT else {}
+        scope = self.spark.createDataFrame([(c,) for c in self.cluster], "idx int")  # a bounded scope, however many episodes have features
+        values = {x["idx"]: x for x in features.join(scope, "idx", "left_semi").select("idx", *keys).collect()}
         rows = []
         for target in rng.choice(sorted(self.cluster), min(n_targets, len(self.cluster)), replace=False):
             try:
@@ -200,7 +201,11 @@ class Service:
         return self.engine.diversity(self.poses, "service")
 
     def _records(self, df: DataFrame, most: int = 5000) -> list[dict]:
-        return store.strict(df.limit(most).collect())
+        """All rows as plain data; an answer of more than `most` rows is refused, never cut."""
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} rows: ask for a scope of tasks")
+        return store.strict(rows)
 
     def domains(self) -> dict:
         r = self._report()
