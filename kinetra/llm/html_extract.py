@@ -3,8 +3,8 @@
 A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, forms, scripts, comments and the
 like are out by structure. In the first pass the others are judged by their length, the density of stop words and the
 density of links: good, bad, or short and undecided. In the second pass undecided blocks inherit the label of their
-nearest decided neighbours. What a page marks as its article is a prior: blocks within it start one step better, and no
-block is out because it stands outside.
+nearest decided neighbours. What a page marks as its article is a weak prior: blocks within it start one step better, which
+links and neighbours can outvote, and no block is out because it stands outside.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ BOILERPLATE = re.compile(
     r"|share|sharing|social|related|recommended|recommendations|more-stories|tags|toc|search|form|copyright|legal|disclaimer|complementary|contentinfo|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
-#: A class or id that names the article itself, whatever else stands beside it.
+#: Parts that a layout has or lacks say nothing about the element itself.
+LAYOUT = re.compile(r"^(?:has|with|no|without)[_-]", re.I)
+#: A class or id that names the article itself.
 MAIN = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|main|page)[_-]?)?(?:content|body|text|main|article|post|entry|story)(?:$|\s)", re.I)
 
 #: Frequent function words of the languages that pages come in.
@@ -41,7 +43,12 @@ STOP_WORDS = frozenset(
     "al como con del el ella en entre era es esta este fue ha hay la las lo los más me mi no para pero por que se sin sobre su sus también un una y ya".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Characters of scripts that put no space between words, and frequent function words of languages written in them.
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+UNSPACED_STOPS = re.compile("[のはをにがでともてた的了是在和不有我]|ที่|และ|ใน|ของ|เป็น|การ|ได้|ไม่")
+
+#: A quote that is never closed is an ordinary character of its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _END = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in RAW}
 
@@ -71,8 +78,8 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     if tag in ("article", "main"):
         return bool(names) and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I)), True
     if names and tag not in ("body", "html"):
-        main = bool(MAIN.search(names))
-        return bool(BOILERPLATE.search(names)) and not main, main
+        gone = any(BOILERPLATE.search(name) and not LAYOUT.match(name) for name in names.split())
+        return gone, not gone and bool(MAIN.search(names))
     return False, False
 
 
@@ -166,29 +173,38 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _words(text: str) -> tuple[int, float]:
+    """Number of words and share of stop words; where a script has no spaces, two characters count as a word."""
+    bare = len(UNSPACED.findall(text))
+    if 2 * bare > len(text):
+        n = max(1, bare // 2)
+        return n, len(UNSPACED_STOPS.findall(text)) / n
+    words = text.split()
+    return len(words), sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def first_pass(block: Block) -> str:
     """good, bad, near-good or short, by link density, length and stop-word density."""
-    words = block.text.split()
     if block.linked > LINKS_MOST * len(block.text):
         return "bad"
-    if "©" in block.text and len(words) < LONG:
+    n, stops = _words(block.text)
+    if "©" in block.text and n < LONG:
         return "bad"
-    stops = sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if len(words) >= LONG:
+    if n >= LONG:
         return "good" if stops >= STOPS_HIGH else "near-good" if stops >= STOPS_LOW else "bad"
-    if len(words) >= SHORT and stops >= STOPS_HIGH:
+    if n >= SHORT and stops >= STOPS_HIGH:
         return "near-good"
     return "short"
 
 
 def with_mark(kind: str, block: Block) -> str:
-    """The kind of a block within a marked article: undecided ones start as good, long ones with few stop words (code, tables) are left to their neighbours. Links and a copyright line stay bad."""
+    """The kind of a block within a marked article, one step better: near-good ones are good, short ones and long ones with few stop words (code, tables) are near-good, so that one good neighbour suffices. Links and a copyright line stay bad."""
     if not block.main:
         return kind
     if kind == "bad":
-        few_stops = block.linked <= LINKS_MOST * len(block.text) and len(block.text.split()) >= LONG
+        few_stops = block.linked <= LINKS_MOST * len(block.text) and _words(block.text)[0] >= LONG
         return "near-good" if few_stops else "bad"
-    return "good"
+    return "good" if kind in ("good", "near-good") else "near-good"
 
 
 def second_pass(kinds: list[str]) -> list[bool]:
@@ -214,8 +230,9 @@ def extract(page: str | None) -> str:
     for i, b in enumerate(found):  # a heading goes with the text under it
         if b.heading and not keep[i] and kinds[i] != "bad":
             keep[i] = i + 1 < len(found) and keep[i + 1]
-    if not any(keep) and any(k == "near-good" for k in kinds):
-        keep = [k == "near-good" for k in kinds]
+    for last in ("near-good", "short"):  # a page without any decided text consists of what comes nearest to it
+        if not any(keep):
+            keep = [k == last for k in kinds]
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
@@ -223,7 +240,8 @@ def html_extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages (page_id, url, html): page_id, url, text, n_chars (code points of text).
 
     The whole html is read; null and empty pages, and pages without text, have an empty text. Broken markup ends nothing:
-    an open tag, comment or script that is never closed reaches to the end. Repeated rows repeat their texts; other columns
+    an open tag, comment or script that is never closed reaches to the end, and a quote that is never closed ends with its
+    tag. A page whose blocks are all undecided consists of its near-good blocks or, without any, of its short ones. Repeated rows repeat their texts; other columns
     are ignored. Memory: one page at a time beside the batch.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
