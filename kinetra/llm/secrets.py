@@ -5,8 +5,9 @@ chi-squared test of uniformity, a runs test and a serial-correlation test are co
 depend on each other and short tokens are far from the limit laws, the p-value of the combination comes from a table for
 each encoding and class of lengths, simulated once with random tokens. Natural words, names and paths are far from random:
 the candidates for which the hypothesis is rejected are dropped, with the share of false rejections (lost secrets) held by
-the Benjamini-Hochberg rule within bands of length and encoding. What remains is reported. Only DataFrame operations are
-used on the documents.
+the Benjamini-Hochberg rule within bands of length and encoding. What remains is held against the alternative, too: the
+letters of words joined by capitals or signs are frequent ones, so a token whose letters are as frequent as those of words
+is not reported; this holds the share of false reports at any length. Only DataFrame operations are used on the documents.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ ENCODINGS = (
 )
 #: Coefficients of a published fit of erfc, whose relative error is below 1.2e-7 everywhere.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+#: Frequencies of the letters a to z in English text, in percent.
+FREQUENCIES = (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07)
+WORD_TAIL = 3.1  # deviations below the mean of words: about one token in a thousand made of words is reported
 LEVELS = (1, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002)  # upper tails whose quantiles a table holds
 LONGEST = 16  # the last class of lengths: 256 characters and more
 GRID = 64  # cells of a p-value's decimal digit, for the corpus-wide ranking
@@ -139,6 +143,24 @@ def _cell(p: Column) -> Column:
     return F.floor(F.least(-F.log10(F.greatest(p, F.lit(1e-30))), F.lit(30.0)) * GRID).cast("int")
 
 
+def wordlike(token: Column) -> Column:
+    """Whether the letters of a token are as frequent as those of words; false where only a to f occur.
+
+    The statistic is the sum of ln(26 f) over the letters, f their frequency in text. Words have a positive mean and random
+    letters a negative one; the limit is WORD_TAIL deviations below the mean of words of that many letters.
+    """
+    f = np.array(FREQUENCIES) / sum(FREQUENCIES)
+    w = np.log(26 * f)
+    mean = float(f @ w)
+    spread = float(np.sqrt(f @ (w - mean) ** 2))
+    folded = F.lower(token)
+    size = F.char_length(folded)
+    counts = [size - F.char_length(F.replace(folded, F.lit(c), F.lit(""))) for c in _LOWER]
+    letters = sum(counts[1:], counts[0]).cast("double")
+    total = sum((c * float(v) for c, v in zip(counts, w)), F.lit(0.0))
+    return folded.rlike("[g-z]") & (total >= letters * mean - F.sqrt(letters) * (WORD_TAIL * spread))
+
+
 def thresholds(candidates: DataFrame, rate: float) -> dict[str, int]:
     """For each band the least cell that is still rejected, by Benjamini and Hochberg's rule over all candidates.
 
@@ -156,8 +178,9 @@ def secret_scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     Null and empty texts have no spans. Repeated rows repeat their spans and count as often in the ranking. A span of the
     battery that overlaps a base span is left out. Candidates have 20 characters or more, and a digit or letters of both
-    cases: in one case alone, words cannot be told from random letters at such lengths. Words joined by capitals are
-    reported where their letters happen to be as even as random ones. Other columns are ignored.
+    cases: in one case alone, words cannot be told from random letters at such lengths. Tokens whose letters are as frequent
+    as those of words are left out (wordlike()): of random tokens, few of 20 characters and fewer of longer ones. Other
+    columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     wide = S.find(base_spans(src), "text", "random", CANDIDATE).select("doc_id", F.concat(*BASE_KINDS).alias("base"), F.filter("random", lambda s: s["found"].rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")).alias("c"))
@@ -169,7 +192,7 @@ def secret_scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     scanned = materialize(ready, "secrets")
     limit = thresholds(scanned.select(F.explode("c").alias("x")).select("x.band", "x.cell"), rate)
     limits = F.create_map(*(x for k, v in limit.items() for x in (F.lit(k), F.lit(v)))) if limit else F.lit(None).cast("map<string,int>")
-    kept = F.filter("c", lambda x: x["cell"] < F.coalesce(F.try_element_at(limits, x["band"]), F.lit(1 << 30)))
+    kept = F.filter("c", lambda x: (x["cell"] < F.coalesce(F.try_element_at(limits, x["band"]), F.lit(1 << 30))) & ~wordlike(x["span"]["found"]))
     return scanned.select("doc_id", "base", F.transform(kept, lambda x: x["span"]).alias("added"))
 
 
