@@ -24,12 +24,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-#: Generators of further candidates.
+#: Generators of further candidates. None starts or ends within a longer run of letters and digits.
 GENERATORS = {
-    "ssn": r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
-    "tel": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
-    "national": r"(?<![0-9])0[0-9](?:[ ./-]?[0-9]){6,12}(?![0-9])",
+    "ssn": r"(?<![A-Za-z0-9])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "tel": r"(?<![A-Za-z0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "national": r"(?<![A-Za-z0-9])0[0-9](?:[ ./-]?[0-9]){6,12}(?![A-Za-z0-9])",
+    "passport": r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])",
+    "birth": r"(?<![A-Za-z0-9])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![A-Za-z0-9])",
 }
 KINDS = (*BASE_KINDS, *GENERATORS)
 
@@ -77,18 +79,25 @@ FEATURES = {
     "is_ssn": lambda s: (s["kind"] == "ssn").cast("double"),
     "is_iban": lambda s: (s["kind"] == "iban").cast("double"),
     "is_national": lambda s: (s["kind"] == "national").cast("double"),
+    "is_passport": lambda s: (s["kind"] == "passport").cast("double"),
+    "is_birth": lambda s: (s["kind"] == "birth").cast("double"),
     "digits": lambda s: F.char_length(_digits(s["found"])).cast("double"),
     "distinct": lambda s: F.size(F.array_distinct(F.split(_digits(s["found"]), ""))).cast("double"),
     "glued_left": lambda s: s["before"].rlike(r"[A-Za-z0-9#/=_.-]$").cast("double"),
     "glued_right": lambda s: s["after"].rlike(r"^(?:[A-Za-z0-9/=_-]|\.[0-9])").cast("double"),
     "cue": lambda s: F.when(s["kind"] == "ssn", s["before"].rlike(r"(?i)\b(?:ssn|social|security|tax|id)\b"))
     .when(s["kind"] == "iban", s["before"].rlike(r"(?i)\b(?:iban|account|bank|transfer|konto|cuenta|compte)\b"))
+    .when(s["kind"] == "passport", s["before"].rlike(r"(?i)\b(?:passport|passeport|pasaporte|reisepass|pass)\b"))
+    .when(s["kind"] == "birth", s["before"].rlike(r"(?i)\b(?:born|birth|birthday|dob|geboren|geburtsdatum|n\u00e9e?|naissance|nacid[oa]|nacimiento)\b"))
     .otherwise(s["before"].rlike(r"(?i)\b(?:tel|t\u00e9l|telefon|tel[e\u00e9]fono|phone|call|fax|mobile?|cell|handy|contact|kontakt|ring)\b"))
     .cast("double"),
     "counter_cue": lambda s: s["before"].rlike(r"(?i)\b(?:order|ref|isbn|part|serial|item|invoice|rechnung|facture|factura|case|version|sku)\b").cast("double"),
+    "quantity": lambda s: (s["before"].rlike(r"(?i)\b(?:total|sum|count|amount|quantity|timestamp|unix|number of|summe|menge|somme|suma)\b") | s["after"].rlike(r"(?i)^\s?(?:units?|pieces|items|bytes|rows|seconds|ms|km|kg|eur|usd|dollars|st\u00fcck)\b")).cast("double"),
     "valid": lambda s: F.when(s["kind"] == "ssn", s["found"].rlike(r"^(?!000|666|9)[0-9]{3}[ -](?!00)[0-9]{2}[ -](?!0000)[0-9]{4}$"))
     .when(s["kind"] == "iban", _iban_rest(s["found"]) == 1)
     .when(s["kind"] == "national", F.char_length(_digits(s["found"])).between(9, 12))
+    .when(s["kind"] == "passport", F.char_length(s["found"]).between(8, 9))
+    .when(s["kind"] == "birth", s["found"].rlike(r"^(?:(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))$"))
     .otherwise(s["found"].rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]"))
     .cast("double"),
     "even": lambda s: s["found"].rlike(r"^(?:[^ -]*|[^ ]*|[^-]*|\(.*)$").cast("double"),
@@ -122,34 +131,45 @@ def _number(rng: random.Random, kind: str, valid: bool) -> str:
     if kind == "tel":
         sep, first = rng.choice("-. "), lambda: str(rng.randint(2, 9) if valid else rng.randint(0, 1))
         return f"{first()}{d(2)}{sep}{first()}{d(2)}{sep}{d(4)}"
+    if kind == "passport":
+        return "".join(rng.choice("ABCDEFGHKLMNPRSTUXYZ") for _ in range(rng.randint(1, 2))) + (d(7) if valid else d(6 if rng.random() < 0.5 else 8))
+    if kind == "birth":
+        day, month, year = f"{rng.randint(1, 28):02d}", f"{rng.randint(1, 12):02d}", str(rng.randint(1930, 2020) if valid else rng.choice([1000, 2100]) + rng.randint(0, 99))
+        return f"{year}-{month}-{day}" if rng.random() < 0.4 else rng.choice("./-").join((day, month, year))
     raw, sep = "0" + str(rng.randint(1, 9)) + d(rng.randint(7, 10) if valid else rng.choice([6, 11, 12])), rng.choice(["", " ", "/", "-", "."])
     return raw[:3] + sep + raw[3:] if rng.random() < 0.5 else sep.join(raw[i : i + 2] for i in range(0, len(raw), 2))
 
 
-def synthetic(n: int = 2000, seed: int = 7) -> list[tuple[int, str, str, int]]:
+def synthetic(n: int = 3000, seed: int = 7) -> list[tuple[int, str, str, int]]:
     """Rows (id, kind, text, label) with one intended candidate each: personal data with and without cues, and look-alikes.
 
     The label is drawn first, and no single feature is the label: look-alikes often have a valid format, and then only the
     text around them tells; personal data sometimes has an odd format beside a cue. Only account numbers with a wrong
-    check number are never personal data.
+    check number are never personal data. Dates and codes of a passport's form are common, so those are personal data
+    beside a cue only.
     """
     rng, rows = random.Random(seed), []
     phones = ["call ", "tel ", "phone: ", "contact me, ", "Telefon ", "t\u00e9l ", "tel\u00e9fono "]
-    cues = {"ssn": ["SSN ", "social security: ", "tax id "], "iban": ["IBAN ", "bank account: ", "transfer to "], "tel": phones, "national": phones}
+    cues = {"ssn": ["SSN ", "social security: ", "tax id "], "iban": ["IBAN ", "bank account: ", "transfer to "], "tel": phones, "national": phones, "passport": ["passport ", "Reisepass ", "passport no. ", "pasaporte "], "birth": ["born ", "date of birth: ", "DOB ", "geboren am ", "n\u00e9 le ", "nacida el "]}
+    counted = [("total of ", ""), ("amount ", ""), ("timestamp ", ""), ("sum: ", ""), ("", " units"), ("", " pieces"), ("", " bytes"), ("count of ", " items")]
     wrong = ["order ", "ref ", "isbn ", "part no ", "serial ", "item ", "case ", "invoice ", "Rechnung ", "facture "]
     for i in range(n):
         kind, good = rng.choice(list(GENERATORS)), rng.random() < 0.5
         before, after = rng.choice(["the ", "and it is ", "words here, "]), rng.choice([" or so", ".", ", then", ""])
         if good:
-            cue = rng.random() < 0.8
+            cue = kind in ("passport", "birth") or rng.random() < 0.8
             valid = kind == "iban" or not cue or rng.random() < 0.9
             before += rng.choice(cues[kind]) if cue else ""
         else:
             valid = kind != "iban" and rng.random() < 0.5
-            glued = rng.random() < 0.4
-            before += rng.choice(wrong) if valid or glued or rng.random() < 0.7 else ""
+            glued = rng.random() < 0.3
             if glued:
-                before, after = before + rng.choice(["#", "x-", "A/", "v"]), rng.choice(["-x", "/A", "x", "_a"])
+                before, after = before + rng.choice(wrong) + rng.choice(["#", "x-", "A/", "v="]), rng.choice(["-x", "/A", "_a"])
+            elif rng.random() < 0.4:
+                lead, unit = rng.choice(counted)
+                before, after = before + lead, unit or after
+            elif valid and kind not in ("passport", "birth") or rng.random() < 0.7:
+                before += rng.choice(wrong)
         rows.append((i, kind, before + _number(rng, kind, valid) + after, int(good)))
     return rows
 
