@@ -54,6 +54,32 @@ def test_html_article_mark_is_a_prior():
     assert html_extract.extract(page) == f"{long_}\n\n{listing}"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p>Buy <a href="x>now</a> text</p></article>', "Buy now text"),
+        ("<article><p>It <b title='>goes</b> on</p></article>", "It goes on"),
+        ('<article><p>Words.</p></article><div class="comment-content main"><p>I agree.</p></div>', "Words."),
+        ('<article><p>Words.</p><div class="user-comment content"><p>I agree.</p></div></article><div class="sidebar content"><p>Side.</p></div>', "Words."),
+        ('<div class="content with-sidebar"><p>Words.</p></div>', "Words."),
+        ("<p>hello world</p>", "hello world"),
+        ("<body><p>alpha</p></body>", "alpha"),
+        ("<div><h1>Title</h1><p>Short note.</p></div>", "Title\n\nShort note."),
+        ("<div>" + "これは日本の古い町についての長い文章です。" * 40 + "</div>", "これは日本の古い町についての長い文章です。" * 40),
+        ("<div>" + "这是我们的城市在夏天的样子，" * 10 + "</div><p><a href=1>首页</a></p>", "这是我们的城市在夏天的样子，" * 10),
+    ],
+)
+def test_html_odd_pages(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_html_neighbours_outvote_the_mark():
+    long_ = "This is the text of the page and it has many of the words that we all know, so that it reads as the main part of it for all."
+    links = "<p><a href=1>Only links here</a></p>"
+    page = f"<article>{links}<p>Share this</p>{links}<p>First.</p><p>{long_}</p>{links}<p>More of it</p>{links}</article>"
+    assert html_extract.extract(page) == f"First.\n\n{long_}"
+
+
 def test_html_second_pass():
     kinds = ["short", "good", "short", "near-good", "bad", "short", "near-good", "good", "short"]
     assert html_extract.second_pass(kinds) == [False, True, False, True, False, False, True, True, False]
@@ -252,6 +278,18 @@ def test_secret_p_values_are_uniform(spark):
         assert r.at0 < 0.1 and 0.1 < r.at1 < 0.3 and 0.38 < r.at2 < 0.62, r
 
 
+def test_secrets_and_identifiers_of_many_words(spark):
+    rng = random.Random(17)
+    parts = "Request Service Buffer Session Handler Context Factory Window Message Customer Document Parser Stream Account Builder Storage Network Payment Vector Manager".split()
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = [(i, f"see {''.join(rng.sample(parts, 3))}{rng.randint(1, 99)} here") for i in range(300)]
+    keys = [(1000 + 1000 * n + i, "key " + "".join(rng.choice(both) for _ in range(n)) + " end") for n in (20, 24, 32) for i in range(100)]
+    out = {r.doc_id: bool(r.added) for r in secrets.secret_scan(spark.createDataFrame(names + keys, "doc_id long, text string")).collect()}
+    assert sum(out[i] for i in range(300)) <= 3
+    for n, least in ((20, 80), (24, 85), (32, 90)):
+        assert sum(out[1000 + 1000 * n + i] for i in range(100)) >= least, n
+
+
 def test_secret_battery_finds_what_patterns_do_not(spark):
     rng, both = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     names = ["getInternationalizationResourceBundleLoader", "AbstractSingletonProxyFactoryBeanDefinitionReader", "src/main/Java/Components/Handlers/Index", "parseHTTPRequestHeaderFieldsAndBody"]
@@ -301,6 +339,14 @@ def test_pii_trees_weigh_format_and_context(spark):
     assert out == {1: ["national"], 2: [], 3: [], 4: ["national"], 5: []}
 
 
+def test_pii_leaves_parts_of_tokens_and_quantities_alone(spark):
+    rows = [(1, "key ede43f42c939b6400411590525cf889e in hex"), (2, 'id "9f019930026318cf"'), (3, "total of 123-45-6789 units"), (4, "timestamp 0912345678 done"), (5, "see AB1234567 there"), (6, "on 12.03.2021 we met")]
+    rows += [(11, "passport AB1234567 lost"), (12, "born 12.03.1981 in Bonn"), (13, "date of birth: 1981-03-12"), (14, "geboren am 01.02.1975"), (15, "Pass Nr. C01X00T47")]
+    out = {r.doc_id: [s.kind for s in r.added] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(out[i] for i in range(1, 7)), out
+    assert out[11] == ["passport"] and out[12] == out[13] == out[14] == ["birth"]
+
+
 def test_pii_trees_on_rows_not_seen(spark):
     rows = pii.synthetic(1200, seed=99)
     df = spark.createDataFrame(rows, "doc_id long, kind string, text string, label int")
