@@ -153,6 +153,54 @@ def test_stores(spark, tmp_path):
     assert zarr.read_poses(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_stores_are_found_by_listing(tmp_path):
+    pose = {"left.obs_ee_pose": np.ones((5, 7))}
+    for at in ("e0.zarr", "lab/e1.zarr", "lab/day/e1.zarr", "lab/day/e2.zarr", "site/a/e3.zarr", "site/a/b/e4.zarr", "lab/e5.zarr/inner.zarr"):
+        zarr.write_store(str(tmp_path / at), pose, {})
+    ids = lambda **k: {s.episode_id: s.source for s in zarr.discover(str(tmp_path), **k)}
+    assert ids() == {"e0": "", "lab__e1": "lab", "lab__day__e1": "lab", "e2": "lab", "e5": "lab", "e3": "site"}  # nothing within a store, nothing four levels down
+    assert ids(depth=4)["e4"] == "site" and ids(depth=1) == {"e0": ""}
+    assert ids(per_source=1) == {"e0": "", "e1": "lab", "e3": "site"}
+    assert zarr.discover(str(tmp_path / "nowhere")) == []
+    assert [s.episode_id for s in zarr.discover(str(tmp_path / "e0.zarr") + "/")] == ["e0"]
+    zarr.write_store(str(tmp_path / "plain"), pose, {})
+    assert [s.episode_id for s in zarr.discover(str(tmp_path / "plain"))] == ["plain"]
+
+
+def test_only_chosen_arrays_are_opened(tmp_path, monkeypatch):
+    zarr.write_store(str(tmp_path / "e.zarr"), {k: np.ones((250, 7)) for k in ("left.obs_ee_pose", "right.obs_ee_pose", "obs_head_pose", "images")}, {"fps": 10})
+    opened, read = [], zarr._bytes
+    monkeypatch.setattr(zarr, "_bytes", lambda f, p: opened.append(p.split("e.zarr/")[1]) or read(f, p))
+    reader = zarr.StoreReader({"path": str(tmp_path), "keys": "left.obs_ee_pose,obs_head_pose"})
+    parts = reader.partitions()
+    assert not opened and len(parts) == 1
+    rows = [r for b in reader.read(parts[0]) for r in b.to_pylist()]
+    assert opened == ["zarr.json", "left.obs_ee_pose/zarr.json", *(f"left.obs_ee_pose/c/{i}/0" for i in range(3))]
+    assert len(rows) == 300 and {r["fps"] for r in rows} == {10.0} and rows[250]["x"] == 0.0  # padded to whole chunks
+
+
+def test_reading_and_fetching_stores(spark, tmp_path):
+    root, rng = tmp_path / "set", np.random.default_rng(1)
+    poses = {at: rng.normal(size=(30 + i, 7)) for i, at in enumerate(("x/e1", "y/e1", "y/e2"))}
+    for at, p in poses.items():
+        zarr.write_store(str(root / f"{at}.zarr"), {"obs_ee_pose": p, "images": p}, {"task_name": at})
+    zarr.write_store(str(root / "y/odd.zarr"), {"obs_ee_pose": np.ones((5, 3))}, {"total_frames": "many"})
+    got = zarr.read_poses(spark, str(root)).where("error IS NULL AND frame < total_frames").toPandas()
+    for name, at in (("x__e1", "x/e1"), ("y__e1", "y/e1"), ("e2", "y/e2")):
+        one = got[got.episode_id == name].sort_values("frame")
+        assert np.array_equal(one[["x", "y", "z"]].to_numpy(), poses[at][:, :3]) and set(one.task_name) == {at}
+    assert zarr.read_poses(spark, str(root)).where("error IS NOT NULL").first().error.startswith("unreadable store")
+    assert zarr.read_poses(spark, str(root / "y/e2.zarr")).where("frame = 0").count() == 1
+    listed = zarr.stores(spark, str(root))
+    assert {r.episode_id for r in store.balanced_take(listed, "source", "path", 2).collect()} == {"x__e1", "y__e1"}
+    (root / "y/e2.zarr/obs_ee_pose/zarr.json").write_text("{")
+    done = {r.episode_id: r for r in zarr.fetch(listed, str(root), str(tmp_path / "copy"), extras=("images",)).collect()}
+    assert done["x__e1"].files == 5 and done["x__e1"].error is None and done["e2"].error
+    assert sum(f.stat().st_size for f in (tmp_path / "copy/x__e1.zarr").rglob("*") if f.is_file()) == done["x__e1"].bytes
+    again = zarr.read_poses(spark, str(tmp_path / "copy")).where("episode_id = 'y__e1' AND frame < total_frames").orderBy("frame").toPandas()
+    assert np.array_equal(again[["x", "y", "z"]].to_numpy(), poses["y/e1"][:, :3])
+
+
 def test_arms(spark):
     rng = np.random.default_rng(4)
     quiet, lively = np.ones((60, 3)) + rng.normal(0, 0.002, (60, 3)), np.cumsum(rng.normal(0, 0.1, (80, 3)), axis=0)
