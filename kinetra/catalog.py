@@ -128,6 +128,13 @@ def a12(spark, d):
     return rounded(curriculum.stage_summary(event_stages(spark, d)))
 
 
+@query("k9_row_orders", _STAGES + " SELECT idx, curriculum_rank - 1 AS by_curriculum, CAST(row_number() OVER (ORDER BY cluster, idx) - 1 AS INT) AS by_cluster, CAST(row_number() OVER (ORDER BY idx) - 1 AS INT) AS by_dataset FROM cur")
+def k9(spark, d):
+    table = store.writer(spark)(event_stages(spark, d).select("idx", "cluster", "curriculum_rank"))
+    by = [curriculum.row_order(table, o).withColumnRenamed("position", f"by_{o}") for o in ("curriculum", "cluster", "dataset")]
+    return by[0].join(by[1], "idx").join(by[2], "idx")
+
+
 @query("b1_windows", "WITH " + T.EVENT_FRAMES_SQL + """, n AS (SELECT idx, frame, x, y, z, lead(x) OVER w - x AS nx, lead(y) OVER w - y AS ny, lead(z) OVER w - z AS nz, first_value(x) OVER v - x AS fx, frame - 15 AS "at" FROM frames WINDOW w AS (PARTITION BY idx ORDER BY frame), v AS (PARTITION BY idx ORDER BY frame ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
 SELECT idx, "at", round(fx, 9) AS first_x, round(nx, 9) AS next_x, round(ny, 9) AS next_y, round(nz, 9) AS next_z FROM n WHERE "at" >= 0 AND nx IS NOT NULL""")
 def b1(spark, d):
@@ -476,17 +483,26 @@ def t5(spark, d):
 # ---- orders, selections, ways -----------------------------------------------------------------------------------------
 
 
-@query("x10_farthest_first", "WITH RECURSIVE " + _P.removeprefix("WITH ") + """, first AS (SELECT i AS idx FROM sym GROUP BY i ORDER BY round(sum(d), 6), i LIMIT 1),
+_FARTHEST = "WITH RECURSIVE " + _P.removeprefix("WITH ") + """, first AS (SELECT i AS idx FROM sym GROUP BY i ORDER BY round(sum(d), 6), i LIMIT 1),
 near AS (SELECT n.idx, coalesce(s.d, -1) AS gap FROM nodes n, first f LEFT JOIN sym s ON s.i = n.idx AND s.j = f.idx),
 walk AS (SELECT 1 AS rank, idx, gap, first_value(idx) OVER (ORDER BY gap DESC, idx) AS nxt FROM near
   UNION ALL SELECT w.rank + 1, w.idx, least(w.gap, coalesce(s.d, -1)), first_value(w.idx) OVER (ORDER BY least(w.gap, coalesce(s.d, -1)) DESC, w.idx)
   FROM walk w LEFT JOIN sym s ON s.i = w.idx AND s.j = w.nxt WHERE w.rank < (SELECT count(*) - 1 FROM nodes))
-SELECT idx, 1 AS coreset_rank FROM first UNION ALL SELECT DISTINCT nxt, CAST(rank + 1 AS INT) FROM walk""")
+SELECT idx, 1 AS coreset_rank FROM first UNION ALL SELECT DISTINCT nxt, CAST(rank + 1 AS INT) FROM walk"""
+
+
+@query("x10_farthest_first", _FARTHEST)
 def x10(spark, d):
     write = store.writer(spark)
     return curriculum.coreset_prefix(write(pairs_of(spark, d)), None, write)
 
 
+@query("k8_terrain", _FARTHEST.replace("(SELECT count(*) - 1 FROM nodes)", "27"))
+def k8(spark, d):
+    write = store.writer(spark)
+    return curriculum.coreset_prefix(write(pairs_of(spark, d)), 28, write)  # a view of the most different clips
+
+
 @query("k4_redundant_selection", _P + " SELECT idx FROM (SELECT i AS idx, min(d) AS nn FROM sym GROUP BY i) ORDER BY nn, idx LIMIT 25")
 def k4(spark, d):
     return curriculum.select("redundant", 25, pairs_of(spark, d), nodes_of(spark, d).select("idx", "cluster"), 10**9)

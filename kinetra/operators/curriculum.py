@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SELECTION_METHODS, one_of
+from ..functions import ranks
 from ..sources.store import writer
 from . import pairs as P
 
@@ -87,6 +88,23 @@ def build(feats: DataFrame, pairs: DataFrame, labels: DataFrame, n: int, meta: D
     return out if meta is None else out.join(meta, "idx", "left")
 
 
+def row_order(table: DataFrame, by: str = "curriculum") -> DataFrame:
+    """idx, position from 0: the order of the rows of a distance map, by "curriculum" rank, "cluster" (within one by idx) or as in the "dataset".
+
+    table holds idx and, for the first two, curriculum_rank or cluster. Clusters and ranges of numbers are ordered on
+    their own and start from the size of those before them.
+    """
+    one_of("order", by, ("curriculum", "cluster", "dataset"))
+    if by == "cluster":
+        sizes = table.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+        starts = sizes.select("cluster", (F.sum("_n").over(W.orderBy("cluster")) - F.col("_n")).alias("_before"))
+        place = F.row_number().over(W.partitionBy("cluster").orderBy("idx")) - 1
+        return table.join(F.broadcast(starts), "cluster").select("idx", (F.col("_before") + place).cast("int").alias("position"))
+    order = "curriculum_rank" if by == "curriculum" else "idx"
+    counted = ranks.running_sum(table.select("idx", F.col(order).alias("_order"), F.lit(1).alias("_one")), "_order", "_one", "_up")
+    return counted.select("idx", (F.col("_up") - 1).cast("int").alias("position"))
+
+
 def clamp_size(n: int, size: int | None = None) -> int:
     """The size of compared subsets: 2..n, a quarter of n unless it is given."""
     return min(max(size if size is not None else n // 4, 2), n)
