@@ -244,6 +244,13 @@ class Service:
         return {"nodes": self._records(f.nodes), "edges": self._records(f.edges, 100_000), "layout": store.strict(dict(zip(ids, where)))}
 
     def path(self, goal: str, overrides: dict | None = None, tasks: list[str] | None = None, domain: str | None = None, seeds: int = 50, **path) -> dict:
+        if not isinstance(goal, str) or not goal:
+            raise ValueError("a goal needs at least one character")
+        if isinstance(seeds, bool) or not isinstance(seeds, int) or seeds < 1:
+            raise ValueError("seeds is a number of 1 or more")
+        for k in path:
+            if k not in asdict(PathConfig()):
+                raise ValueError(f"unknown path setting {k}")
         f = self._finder(overrides, tasks, domain)
         found = f.find(goal, cfg=PathConfig(**path))
         return {"goal": goal, "candidates": self._records(f.match(goal)), "target": found["target"], "cost": found["cost"], "terms": found["terms"], "steps": self._records(found["table"].orderBy("step")), "report": self._records(f.report(found["steps"]))[0], "comparison": self._records(f.compare(found["steps"], seeds, target=found["target"]))}
@@ -255,6 +262,14 @@ class Service:
         r = self._report()
         return store.matrix_rows(r.pairs, r.n)
 
+    def previews(self) -> list[dict]:
+        """Every episode's way in x and y, centred but not scaled: at most 240 points, or 120 in sets of over 60 episodes."""
+        r = self._report()
+        points = store.centred(store.decimate(F.col("traj"), 240 if r.n <= 60 else 120))
+        xy = r.trajectories.select("idx", F.size("traj").alias("n_frames"), F.transform(points, lambda p: F.slice(p, 1, 2)).alias("points"))
+        about = r.episodes.select("idx", "episode_id", "source", "task_name", F.coalesce("fps", F.lit(30.0)).alias("fps"))
+        return self._records(about.join(xy, "idx").join(r.curriculum.select("idx", "workspace_span", "path_length"), "idx", "left").orderBy("idx"))
+
     def trajectory(self, episode_id: str, most: int = 240) -> list:
         r = self._report()
         found = r.trajectories.join(r.episodes.where(F.col("episode_id") == episode_id).select("idx"), "idx").select(store.centred(store.decimate(F.col("traj"), most)).alias("p")).first()

@@ -442,4 +442,14 @@ def test_engine_and_service(spark, tmp_path):
     assert s.domains()["domains"]["kitchen"] == ["stir", "wipe"]
     with pytest.raises(ValueError):
         s.graph({"speed": 1})
+    seen = s.previews()
+    assert [x["idx"] for x in seen] == list(range(12)) and {x["source"] for x in seen} == {"synth"}
+    for x in seen:
+        assert len(x["points"]) == min(240, x["n_frames"]) and np.abs(np.mean(x["points"], axis=0)).max() < 1e-9 and x["path_length"] > 0
+    for wrong in ({"goal": ""}, {"goal": "stir", "seeds": 0}, {"goal": "stir", "speed": 1}):
+        with pytest.raises(ValueError):
+            s.path(**wrong)
+    orders = {by: [x.idx for x in curriculum.row_order(r.curriculum, by).orderBy("position").collect()] for by in ("curriculum", "cluster", "dataset")}
+    rows = r.curriculum.select("idx", "cluster", "curriculum_rank").collect()
+    assert orders == {"curriculum": [x.idx for x in sorted(rows, key=lambda x: x.curriculum_rank)], "cluster": [x.idx for x in sorted(rows, key=lambda x: (x.cluster, x.idx))], "dataset": list(range(12))}
     assert Engine(spark).diversity(poses.where("episode_id = 'synth__stir__0001'")).n == 1
