@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetra.config import GraphConfig
-from kinetra.operators import graph, tiles
+from kinetra.operators import clean, graph, tiles
 from kinetra.operators import pairs as P
-from kinetra.sources import store
+from kinetra.sources import store, tables
 
 
 def test_first_seen_counts_appearances(spark):
@@ -90,3 +90,14 @@ def test_tiles_of_little(spark):
         for f in (tiles.nearest(items), tiles.knn(items), tiles.sums(items), tiles.euclidean(items), tiles.closest(items)):
             assert f.count() == 0
         assert tiles.quantile(items, 0.5) is None and P.summary_of(items).first().n_pairs == 0
+
+
+# ---- poses ----
+
+
+def test_poses_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "POSES_A_TASK", 300)
+    poses = tables.lineitem_poses(spark, "/root/testdata/sf0.001")
+    assert poses.rdd.getNumPartitions() == -(-poses.count() // 300)
+    plan = clean.arm_quality(poses)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # windows and sums stay where the rows were dealt to
