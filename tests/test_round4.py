@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetra.config import GraphConfig
-from kinetra.operators import clean, graph, tiles
+from kinetra.operators import clean, curriculum, graph, metrics, tiles
 from kinetra.operators import pairs as P
 from kinetra.sources import store, tables
 
@@ -101,3 +101,33 @@ def test_poses_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     assert poses.rdd.getNumPartitions() == -(-poses.count() // 300)
     plan = clean.arm_quality(poses)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # windows and sums stay where the rows were dealt to
+
+
+# ---- the clip graph and orders ----
+
+
+@pytest.mark.parametrize("batch", [7, 500])
+def test_farthest_point_order_of_vectors(spark, world, batch):
+    items, pairs, _ = world
+    write = store.writer(spark)
+    want = rows(curriculum.coreset_prefix(pairs, None, write))
+    assert rows(curriculum.coreset_prefix_of(items, None, write, batch)) == want
+    assert rows(curriculum.coreset_prefix_of(items, 9, write, batch)) == [r for r in want if r[1] <= 9]
+    assert rows(curriculum.coreset_prefix_of(items.where("idx = 1"), None, write)) == rows(curriculum.coreset_prefix(pairs.where("false"), None, write)) == []
+
+
+def test_repair_and_redundancy_of_vectors(spark, world, monkeypatch):
+    monkeypatch.setattr(tiles, "CHUNK", 16)
+    items, pairs, _ = world
+    write, cfg = store.writer(spark), GraphConfig(k_neighbors=60)
+    nodes = write(items.withColumns({"difficulty": F.col("idx") / 90.0, "embodiment": F.col("idx") % 2}))
+    norm = write(graph.normalized(pairs, cfg.dtw_quantile))
+    edges = write(graph.candidate_edges(norm, nodes, cfg).where("NOT embodiment_switch"))
+    start = nodes.where("idx = 0").select("idx")
+    got, want = (f.select("src", "dst", "is_repair", "weight") for f in (graph.repair_of(nodes, edges, start, cfg, write, graph.scale_of(nodes)), graph.repair(norm, nodes, edges, start, cfg, write)))
+    assert rows(got) == rows(want) and got.where("is_repair").count()
+    missing, seen = nodes.where("idx % 3 = 0"), nodes.where("idx % 3 = 1")
+    few, one = (tiles.best_sources(seen, missing, 0.05, 2.0, side=s).groupBy("dst").agg(F.min(F.struct("dn", "src")).alias("x")) for s in (11, 1000))
+    assert rows(few) == rows(one)
+    order = nodes.select(F.col("source").alias("k"), (F.col("idx") + 1).alias("step"), "idx", F.lit(False).alias("is_review"))
+    assert rows(metrics.path_redundancy_of(order, nodes, ["k"])) == rows(metrics.path_redundancy(order, norm, ["k"]))
