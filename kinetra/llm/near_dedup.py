@@ -4,8 +4,8 @@ Texts with equal shingle sets form a class; classes are what is compared. Each o
 down from its root: a node's key picks some of the MinHash coordinates (1 / threshold of them in expectation), and the
 class branches to the children named by its minwise tokens there, so that classes that are alike keep meeting. Small nodes
 are compared exhaustively, at every level. In large nodes each class is compared with the node's centre. Classes close to a
-centre are a crowd, which branching would not part: they are compared with the rest of their node, in blocks, on the full
-sets. The others branch on; what is left after the last level is compared in blocks, too. Every link is confirmed on the
+centre are a crowd, which branching would not part: they are compared with the rest of all nodes of that centre, in blocks, on
+the full sets. The others branch on; what is left after the last level is compared in blocks, too. Every link is confirmed on the
 full shingle sets.
 """
 
@@ -180,37 +180,39 @@ class _Sets:
 
 
 class _Met:
-    """Which classes of a task share a node with a key below this one, where they are compared already."""
+    """Which classes of a task are compared in a node with a key below this one: both are in it, and one at least is out there."""
 
     width = 256
 
-    def __init__(self, keys: list[np.ndarray], key: int):
+    def __init__(self, keys: list[np.ndarray], outs: list[np.ndarray], key: int):
         self.rows = len(keys)
-        owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
-        owner, flat = owner[flat < key], flat[flat < key]
+        owner, flat, out = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(outs)
+        below = flat < key
+        owner, flat, out = owner[below], flat[below], out[below]
         _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
         shared = times[at] > 1
-        self.owner, self.at, self.count = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]], int((times > 1).sum())
+        self.owner, self.at, self.out, self.count = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]], out[shared], int((times > 1).sum())
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(y)), bool)
+        met = np.zeros((len(x), len(y)), bool)
         for low in range(0, self.count, self.width):
-            member = np.zeros((self.rows, self.width), np.float32)
+            member, out = np.zeros((2, self.rows, self.width), np.float32)
             here = (self.at >= low) & (self.at < low + self.width)
             member[self.owner[here], self.at[here] - low] = 1
-            out |= member[x] @ member[y].T > 0
-        return out
+            out[self.owner[here], self.at[here] - low] = self.out[here]
+            met |= out[x] @ member[y].T + member[x] @ out[y].T > 0
+        return met
 
 
 def _across(percent: int):
-    """Of a pair of blocks of a node (key, i, j, home, cid, n, comp, sig, keys, shingles), the first one of what is out:
+    """Of a pair of blocks of a node (key, i, j, home, cid, n, comp, sig, keys, outs, shingles), the first one of what is out:
     links, confirmed on the full sets, that join two components. They are fewer than the classes."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         i, j, home, cid, n = (t[x].to_numpy() for x in ("i", "j", "home", "cid", "n"))
         comp, sig = np.unique(t["comp"].to_numpy(), return_inverse=True)[1], _matrix(t["sig"])
         shingles = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-        met = _Met([np.array(x, np.int64) for x in t["keys"].to_pylist()], t["key"][0].as_py())
+        met = _Met([np.array(x, np.int64) for x in t["keys"].to_pylist()], [np.array(x, bool) for x in t["outs"].to_pylist()], t["key"][0].as_py())
         left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
         sets, links = _Sets(int(comp.max()) + 1), []
         columns = np.ascontiguousarray(sig[right].T)
@@ -249,16 +251,13 @@ def _across(percent: int):
     return run
 
 
-def _near(last: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = batch.column(5).to_numpy(zero_copy_only=False)
-                same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).sum(axis=1)
-                kin = np.full(len(out), True) if last else same >= CROWD + AGREE - COORDINATES
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out if last else out & (same >= CROWD)), pa.array(kin)], ["key", "cid", "n", "sig", "out", "kin"])
-
-    return run
+def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From cid, centre, n, sig, the centre's sig, out: whether a class is of its centre's crowd, and whether it can be alike with one that is."""
+    for batch in batches:
+        if batch.num_rows:
+            out = batch.column(5).to_numpy(zero_copy_only=False)
+            same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out & (same >= CROWD)), pa.array(same >= CROWD + AGREE - COORDINATES)], ["cid", "centre", "n", "sig", "out", "kin"])
 
 
 def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,12 +445,17 @@ class _Join:
         for depth in range(DEPTH + 1):
             if left.isEmpty():
                 break
-            tested = self.against_centres(left, last=depth == DEPTH)
-            crowd = tested.where("kin").join(tested.where("out").select("key").distinct(), "key", "left_semi").select("key", "cid", "n", "out")
+            placed = self.placed(left)
+            if depth == DEPTH:
+                crowd = placed.select("key", "cid", "n", "out")
+            else:
+                tested = self.against_centres(placed)
+                crowd = tested.where("kin").join(tested.where("out").select("centre").distinct(), "centre", "left_semi").select(F.xxhash64("centre", F.lit(depth)).alias("key"), "cid", "n", "out")
             crowds = crowd if crowds is None else crowds.unionByName(crowd)
             if depth == DEPTH:
                 break
-            level = materialize(tested.where("NOT out").select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
+            stay = placed.select("key", "cid", "centre").join(tested.where("NOT out").select("cid", "centre", "n", "sig"), ["cid", "centre"])
+            level = materialize(stay.select("key", "cid", "n", "sig").mapInArrow(_branch, NODE), "level")
             members = self.members(level)
             more = self.candidates(members)
             found = more if found is None else found.unionByName(more)
@@ -461,27 +465,32 @@ class _Join:
         if crowds is not None:
             self.try_blocks(crowds)
 
-    def against_centres(self, left: DataFrame, last: bool) -> DataFrame:
-        """Of large nodes, a written table: key, cid, n, sig, out, kin. A class that is close to its node's centre, a class of the
-        main component, but not of that component, is part of a crowd, where branching parts nothing: it is out, to be compared with all of the
-        node that can agree with it (kin). So is, at the last level, whatever is not of the main component."""
+    def placed(self, left: DataFrame) -> DataFrame:
+        """Of large nodes, a written table: key, cid, n, centre, out. A node's centre is a class of its main component; what is not of that component is out."""
         counts = left.groupBy("key", "cid_comp").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("c"))
-        nodes = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp", "c")).alias("x")).select("key", F.col("x.c").alias("cid"), F.col("x.cid_comp").alias("main"))
+        nodes = counts.groupBy("key").agg(F.max(F.struct("k", "cid_comp", "c")).alias("x")).select("key", F.col("x.c").alias("centre"), F.col("x.cid_comp").alias("main"))
+        return materialize(left.join(nodes, "key").select("key", "cid", "n", "centre", (F.col("cid_comp") != F.col("main")).alias("out")), "placed")
+
+    def against_centres(self, placed: DataFrame) -> DataFrame:
+        """A written table cid, centre, n, sig, out, kin. A class that is close to a centre, but not of its component, is part of
+        a crowd, where branching parts nothing: it is out, to be compared with all that shares a node with that centre and can
+        agree with it (kin). A crowd stays together in most of its nodes, so a class meets a centre once, not once for each
+        node: what is tested and compared grows with classes and centres, not with nodes."""
+        met = placed.select("cid", "centre", "n", "out").distinct()  # `out` goes by the components of both
         sig = self.classes.select("cid", "sig")
-        centres = nodes.join(sig, "cid").select("key", "main", F.col("sig").alias("centre"))
-        both = left.join(centres, "key").join(sig, "cid")
-        return materialize(both.select("key", "cid", "n", "sig", "centre", (F.col("cid_comp") != F.col("main")).alias("out")).mapInArrow(_near(last), "key long, cid long, n long, sig binary, out boolean, kin boolean"), "tested")
+        both = met.join(sig, "cid").join(sig.withColumnsRenamed({"cid": "centre", "sig": "centre_sig"}), "centre")
+        return materialize(both.select("cid", "centre", "n", "sig", "centre_sig", "out").mapInArrow(_near, "cid long, centre long, n long, sig binary, out boolean, kin boolean"), "tested")
 
     def try_blocks(self, crowds: DataFrame) -> None:
-        """Nodes (key, cid, n, out): what is out is compared with all of the node, on the full sets, in blocks of a bounded
+        """Nodes, or all nodes of a centre (key, cid, n, out): what is out is compared with all of the node, on the full sets, in blocks of a bounded
         number of classes and bytes. What is not out meets the blocks of those that are; a pair is compared in the first node
-        that both are in."""
+        that both are in, and one of them is out of."""
         left = materialize(self.labelled(crowds, "cid"), "left")
         if left.isEmpty():
             return
         blocks = lambda which: F.coalesce(F.ceil(F.greatest(F.count_if(which) / F.lit(BLOCK), F.sum(F.when(which, F.col("n"))) * 8 / F.lit(BLOCK_BYTES))), F.lit(0)).cast("int")
         nodes = left.groupBy("key").agg(blocks(F.col("out")).alias("p"), blocks(~F.col("out")).alias("q"))
-        classes = left.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # a class is in 2 * TREES * 2 ** DEPTH nodes at most
+        classes = left.groupBy("cid").agg(F.collect_list(F.struct("key", "out")).alias("in")).select("cid", F.col("in.key").alias("keys"), F.col("in.out").alias("outs"))  # a class is in 2 * TREES * 2 ** DEPTH nodes at most
         with session(left.sparkSession, SMALL_BATCHES):
             sets = self.texts_of(classes.select("cid")).mapInArrow(_shingled(self.width), "cid long, shingles binary")
             held = materialize(classes.join(self.classes.select("cid", "sig"), "cid").join(sets, "cid"), "crowds")
@@ -489,7 +498,7 @@ class _Join:
         placed = left.join(nodes, "key").withColumn("home", F.when(F.col("out"), F.pmod(mix, "p")).otherwise(F.col("p") + F.pmod(mix, "q")).cast("int"))
         others = F.sequence(F.lit(0), F.when(F.col("out"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)
         dealt = placed.select("key", "home", "cid", "n", F.col("cid_comp").alias("comp"), F.explode(others).alias("other")).join(held, "cid")
-        dealt = dealt.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "cid", "n", "comp", "sig", "keys", "shingles")
+        dealt = dealt.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "cid", "n", "comp", "sig", "keys", "outs", "shingles")
         self.link(materialize(dealt.groupBy("key", "i", "j").applyInArrow(_across(self.percent), "a long, b long"), "links"))
 
 
